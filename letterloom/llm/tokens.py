@@ -149,7 +149,7 @@ def token_counts(docs: DataFrame, model_file: str | None = None, limit: int = LI
             totals = [dp.count(t) for t in texts]
             tables_of = [dp.prefixes(t) if prefixes or n > limit else None for t, n in zip(texts, totals)]
             out = [column(batch, "doc_id"), [len(t.encode()) for t in texts], totals, [n > limit for n in totals], [len(t) if n <= limit else fit_chars(p, limit) for t, n, p in zip(texts, totals, tables_of)]]
-            yield build(schema, out + [[p.tolist() for p in tables_of]] * prefixes)
+            yield build(schema, out + ([[p.tolist() for p in tables_of]] if prefixes else []))
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return read.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes)
