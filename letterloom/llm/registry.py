@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.llm import decontaminate, licenses, secrets, simhash, tokens
+from letterloom.llm import decontaminate, licenses, lines, secrets, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             simhash.op1_simhash_near_dedup,
             decontaminate.op2_benchmark_decontamination,
             tokens.op5_token_counts,
+            lines.op6_quality_rules,
             licenses.op8_license_scan,
             secrets.op9_secret_scan,
         )
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.OP8_SQL, "op9_secret_scan": secrets.OP9_SQL}
+    return {"op6_quality_rules": lines.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_secret_scan": secrets.OP9_SQL}
