@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.llm import decontaminate, licenses, lines, secrets, simhash, tokens
+from letterloom.llm import decontaminate, licenses, linededup, lines, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             simhash.op1_simhash_near_dedup,
             decontaminate.op2_benchmark_decontamination,
+            quality.op3_quality_classifier,
+            toxicity.op4_toxicity,
             tokens.op5_token_counts,
             lines.op6_quality_rules,
+            linededup.op7_line_dedup,
             licenses.op8_license_scan,
             secrets.op9_secret_scan,
         )
