@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from letterloom.llm import decontaminate, licenses, linededup, lines, quality, secrets, simhash, tokens, toxicity
+import corpus_pipeline
+from letterloom.llm import decontaminate, licenses, linededup, lines, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             linededup.op7_line_dedup,
             licenses.op8_license_scan,
             secrets.op9_secret_scan,
+            mixing.op10_mixing,
         )
-    }
+    } | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,7 +48,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    return set(_WORD.findall(" ".join(set((text or "").lower().split()))))  # no word spans white space
 
 
 def features_of(words: Iterable[str]) -> set[str]:
