@@ -29,6 +29,23 @@ MARK = "▁"
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
+class _Known(dict):
+    """Words to their tables, last lengths first and counts after them; as bytes where a word is short enough to keep."""
+
+    def __init__(self, tables: PrefixTables):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, word: str):
+        lasts, counts = self.tables.word(word)
+        if len(word) > CACHE_CHARS:
+            return lasts + counts
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = found = bytes(lasts + counts)  # 4 tokens a character at most
+        return found
+
+
 class PrefixTables:
     """Exact token counts of every prefix of a word, kept for words met before."""
 
@@ -42,7 +59,7 @@ class PrefixTables:
             raise ValueError("a piece has a word mark inside, so words can't be counted apart")
         self.tails = {p[k:] for p in self.rank for k in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by its definition: merge the best-scored neighbours, leftmost first, while any merge."""
@@ -64,46 +81,49 @@ class PrefixTables:
             found = self.fits[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return found
 
-    def word(self, word: str) -> list[int]:
-        """counts[i]: tokens of the first i + 1 characters of a word."""
-        rank, tails, n = self.rank, self.tails, len(word)
-        counts, lasts = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
+    def word(self, word: str) -> tuple[list[int], list[int]]:
+        """(lasts, counts): of the first i + 1 characters of a word the length of the last token, and how many tokens."""
+        rank, tails, fits, n = self.rank, self.tails, self.fits, len(word)
+        lasts, counts = [0], [0]
+        known = self.known.get
+        for k in range(n - 1, max(n - 5, 0), -1):  # go on from a word met before with a few characters less
+            if (found := known(word[:k])) is not None:
+                lasts += found[:k]
+                counts += found[k:]
+                break
+        for i in range(len(counts), n + 1):
             low = i - 1
-            while low and word[low - 1 : i] in tails:
+            fitting = [low]
+            while low and (piece := word[low - 1 : i]) in tails:
                 low -= 1
-            for j in range(low, i):
+                if piece in rank:
+                    fitting.append(low)
+            for j in reversed(fitting):
                 piece = word[j:i]
-                if (piece in rank or j == i - 1) and self.after(lasts[j], piece):
-                    counts[i] = counts[j] + (1 if piece in rank else len(piece.encode()))
-                    lasts[i] = piece
+                last = word[j - lasts[j] : j]
+                ok = fits.get((last, piece))
+                if ok is None:
+                    ok = self.after(last, piece)
+                if ok:
+                    counts.append(counts[j] + (1 if piece in rank else len(piece.encode())))
+                    lasts.append(i - j)
                     break
             else:
                 raise AssertionError(f"no token ends at {i} of {word!r}")
-        return counts[1:]
-
-    def __call__(self, word: str):
-        found = self.known.get(word)
-        if found is None:
-            found = self.word(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = found = bytes(found)  # 4 tokens a character at most
-        return found
+        return lasts[1:], counts[1:]
 
     def segments(self, text: str) -> list[str]:
         return _SEGMENTS.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def count(self, text: str | None) -> int:
-        return sum([t[-1] for t in map(self, self.segments(text or ""))])
+        return sum([t[-1] for t in map(self.known.__getitem__, self.segments(text or ""))])
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """counts[k]: tokens of the first k characters, k from 0 to len(text)."""
         out = np.zeros(len(text or "") + 1, np.int32)
         at, total = -1, 0  # the mark before the text is no character of its own
         for segment in self.segments(text or ""):
-            table = np.frombuffer(t, np.uint8) if isinstance(t := self(segment), bytes) else np.asarray(t, np.int32)
+            table = np.array(self.known[segment][len(segment) :], np.int32) if len(segment) > CACHE_CHARS else np.frombuffer(self.known[segment], np.uint8)[len(segment) :]
             lo = at + 1
             out[max(lo, 0) : lo + len(table)] = total + table[max(-lo, 0) :].astype(np.int32)
             at, total = at + len(table), total + int(table[-1])
