@@ -111,13 +111,16 @@ def parsed_headers(raw: bytes) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("map<string,string>")
-def headers_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Header names to values, RFC 2047 and dates already decoded."""
+def _headers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for raw in batches:
         yield raw.map(lambda r: parsed_headers(bytes(r)) if r is not None else None)
 
 
+def headers_of(raw: Column | str) -> Column:
+    """Header names to values of raw messages, RFC 2047 and dates already decoded."""
+    return F.pandas_udf(_headers, "map<string,string>")(raw)
+
+
 def header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name))
 
@@ -150,7 +153,7 @@ def reference_list(value: Column) -> Column:
 
 
 def comma_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def list_id(value: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.functions.headers import decode_base64, decode_words, header_map, split_message
@@ -72,9 +73,7 @@ def extract(headers: dict[str, str], body: bytes) -> tuple[list[str], list[str],
     return ([text] if mime in ("", "text/plain") else []), [], []
 
 
-@F.pandas_udf(BODY)
-def body_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """struct<plain, html, attachments> of raw messages; html only where no plain part is."""
+def _bodies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for raw in batches:
         rows = []
         for r in raw:
@@ -83,3 +82,8 @@ def body_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             text = "\n\n".join(p.strip() for p in plain if p.strip())
             rows.append((text or None, None if text else "\n\n".join(html) or None, files))
         yield pd.DataFrame(rows, columns=["plain", "html", "attachments"])
+
+
+def body_of(raw: Column | str) -> Column:
+    """struct<plain, html, attachments> of raw messages; html only where no plain part is."""
+    return F.pandas_udf(_bodies, BODY)(raw)

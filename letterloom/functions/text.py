@@ -73,7 +73,7 @@ def clean_text(body: Column) -> Column:
         return low.contains("unsubscribe") | view | trouble
 
     kept = F.filter(lines(F.translate(body, INVISIBLE, "")), lambda line: ~boilerplate(line))
-    out = joined(F.transform(kept, strip))
+    out = joined(F.transform(kept, lambda line: strip(line)))
     return strip(F.regexp_replace(out, "\n{4,}", "\n\n\n"))
 
 
