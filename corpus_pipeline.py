@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of line runs are deleted from the texts; a document that has only such runs goes."""
     out = dedup_lines(docs)
-    left = out.where((F.col("_deleted_words") == 0) | (F.col("_deleted_words") < F.col("_words")))
+    left = out.where(~F.col("_emptied"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

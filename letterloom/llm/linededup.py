@@ -15,23 +15,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, row_keys, sliced, table
+from letterloom.llm.common import build, column, cut, sliced, table
 
 GRAM_WORDS = 20
 RUN_WORDS = 40
 
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
-KEYS = ["_key_a", "_key_b"]
 
 
 def pieces_of(text: str) -> list[str]:
     """The text cut after every line break and after a sentence end with its space; joined again they are the text."""
-    mark = next(m for m in ("\x00", "\x01", "\x02", "", None) if m is None or m not in text)
+    mark = next((m for m in ("\x00", "\x01", "\x02") if m not in text), None)
     if mark is None:
         return text.splitlines(keepends=True)
     for end in ("\n", ". ", "! ", "? "):
@@ -39,42 +39,45 @@ def pieces_of(text: str) -> list[str]:
     return text.split(mark)
 
 
-def lines_of(text: str | None) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
-    """The pieces; and of each line with a word its piece, hash and words."""
-    pieces = pieces_of(text) if text else []
+def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
+    """Of each line with a word: its piece, the hash of its lower-cased words, and how many they are."""
     at, hashes, words = [], [], []
-    for i, piece in enumerate(pieces):
-        held = piece.lower().split()
+    digest = xxhash.xxh64_intdigest
+    for i, piece in enumerate(pieces_of(text.lower()) if text else ()):
+        held = piece.split()
         if held:
             at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(" ".join(held).encode("utf-8", "replace")))
+            hashes.append(digest(" ".join(held)))
             words.append(len(held))
-    return pieces, at, np.array(hashes, np.uint64), np.array(words, np.int64)
+    return at, hashes, words
 
 
 class Runs:
-    """Runs of a document's lines: where they end for a number of words, and their hashes."""
+    """Runs of lines of documents laid end to end: where they end for a number of words, and their hashes."""
 
-    def __init__(self, hashes: np.ndarray, words: np.ndarray):
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray):
         self.n = n = len(hashes)
-        self.cum = np.concatenate([[0], np.cumsum(words)])
-        self.sums = []
-        self.unit = []
+        self.cum = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+        stops = np.cumsum(sizes)
+        self.stop = np.repeat(stops, sizes)  # of each line the end, and the start, of its document
+        self.begin = np.repeat(stops - sizes, sizes)
+        self.sums, self.unit = [], []
         for base, inverse in zip(_BASES, _INVERSE):
-            powers = np.ones(n + 1, np.uint64)
+            powers, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
             np.multiply.accumulate(np.full(n, base), out=powers[1:])
-            back = np.ones(n + 1, np.uint64)
             np.multiply.accumulate(np.full(n, inverse), out=back[1:])
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)]))
             self.unit.append(back)
 
-    def forward(self, words: int) -> np.ndarray:
-        """For each line the last line of the shortest run from it with so many words; n where the text ends before."""
-        return np.searchsorted(self.cum, self.cum[:-1] + words) - 1
+    def forward(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each line the last line of the shortest run from it with so many words, and whether its document has it."""
+        last = np.searchsorted(self.cum, self.cum[:-1] + words) - 1
+        return last, last < self.stop
 
-    def backward(self, words: int) -> np.ndarray:
-        """For each line the first line of the shortest run that ends with it; -1 where there is none."""
-        return np.searchsorted(self.cum, self.cum[1:] - words, "right") - 1
+    def backward(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each line the first line of the shortest run that ends with it, and whether its document has it."""
+        first = np.searchsorted(self.cum, self.cum[1:] - words, "right") - 1
+        return first, first >= self.begin
 
     def hash(self, start: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
         h = (self.sums[which][last + 1] - self.sums[which][start]) * self.unit[which][start]
@@ -84,136 +87,165 @@ class Runs:
         return h
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the selected grams."""
-    runs = Runs(hashes, words)
-    ends = runs.forward(run_words)
-    grams = runs.forward(gram_words)
-    whole = np.nonzero(ends < runs.n)[0]
-    if not len(whole):
+def _last_minimum(values: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each range of values the place of its smallest, the last of equal ones: two overlapping powers of two."""
+    best = np.arange(len(values))
+    levels, width = [best], 1
+    longest = int((last - start).max()) + 1
+    while 2 * width <= longest:
+        a, b = levels[-1][:-width], levels[-1][width:]
+        levels.append(np.where(values[b] <= values[a], b, a))
+        width *= 2
+    level = np.frexp((last - start + 1).astype(np.float64))[1] - 1
+    out = np.empty(len(start), np.int64)
+    for k, table_ in enumerate(levels):
+        at = np.nonzero(level == k)[0]
+        a, b = table_[start[at]], table_[last[at] - (1 << k) + 1]
+        out[at] = np.where(values[b] <= values[a], b, a)
+    return out
+
+
+def winnow(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the selected grams of documents laid end to end."""
+    runs = Runs(hashes, words, sizes)
+    ends, whole = runs.forward(run_words)
+    start = np.nonzero(whole)[0]
+    if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = grams[grams < runs.n]
-    values = runs.hash(np.arange(len(grams)), grams)
-    inside = np.searchsorted(grams, ends[whole], "right") - 1  # grams from a window's start to here end within it
-    picked = set()
-    listed = values.tolist()
-    for i, m in zip(whole.tolist(), inside.tolist()):
-        part = listed[i : m + 1]
-        low = min(part)
-        picked.add(m - part[::-1].index(low))
-    at = np.array(sorted(picked), np.int64)
+    grams, held = runs.forward(gram_words)
+    values = np.full(runs.n, np.iinfo(np.uint64).max, np.uint64)
+    own = np.nonzero(held)[0]
+    values[own] = runs.hash(own, grams[own])
+    inside = np.searchsorted(grams, ends[start], "right") - 1  # grams from a window's start to here end within it
+    at = np.unique(_last_minimum(values, start, inside))
     return at, values[at]
 
 
-def extended(hashes: np.ndarray, words: np.ndarray, shared: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, last, hash, second hash) of the runs of run_words words, grown forwards and backwards, that hold a shared gram."""
-    runs = Runs(hashes, words)
-    ends, starts = runs.forward(run_words), runs.backward(run_words)
-    a, b = np.nonzero(ends < runs.n)[0], np.nonzero(starts >= 0)[0]
-    spans = np.unique(np.concatenate([np.stack([a, ends[a]], 1), np.stack([starts[b], b], 1)]), axis=0)
-    shared = np.sort(shared)
-    grams = runs.forward(gram_words)[shared]
-    first = np.searchsorted(shared, spans[:, 0])  # the shared gram that starts first in the run also ends first
+def extended(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, shared: np.ndarray, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, last, hash, second hash) of the runs of run_words words, grown forwards and backwards, that hold a shared
+    gram. shared: its positions, ascending."""
+    runs = Runs(hashes, words, sizes)
+    ends, whole = runs.forward(run_words)
+    starts, ended = runs.backward(run_words)
+    a, b = np.nonzero(whole)[0], np.nonzero(ended)[0]
+    code = np.unique(np.concatenate([a * runs.n + ends[a], starts[b] * runs.n + b]))
+    start, last = code // max(runs.n, 1), code % max(runs.n, 1)
+    grams = runs.forward(gram_words)[0][shared]
+    first = np.searchsorted(shared, start)  # the shared gram that starts first in the run also ends first
     ok = first < len(shared)
-    ok[ok] &= grams[first[ok]] <= spans[ok, 1]
-    start, last = spans[ok, 0], spans[ok, 1]
+    ok[ok] &= grams[first[ok]] <= last[ok]
+    start, last = start[ok], last[ok]
     return start, last, runs.hash(start, last), runs.hash(start, last, 1)
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_words: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("_key_a", pa.int64()), ("_key_b", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("fp_at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
 
-    def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-        offsets = np.cumsum([0, *map(len, values)])
-        flat = np.concatenate(values) if values else np.zeros(0)
-        flat = flat.view(np.int64) if flat.dtype == np.uint64 else flat
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_words: int) -> DataFrame:
+    """doc_id, _key, and the hashes and words of the lines, and the places and hashes of the fingerprints."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("fp_at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            hashes, words, at, fp = [], [], [], []
-            for text in column(batch, "text").to_pylist():
-                _, _, h, w = lines_of(text)
-                p, v = winnow(h, w, gram_words, run_words)
-                hashes.append(h)
-                words.append(w.astype(np.int32))
-                at.append(p.astype(np.int32))
-                fp.append(v)
-            yield build(schema, [column(batch, "doc_id"), *(column(batch, k) for k in KEYS), lists(hashes, pa.int64()), lists(words, pa.int32()), lists(at, pa.int32()), lists(fp, pa.int64())])
+            held = [lines_of(t)[1:] for t in column(batch, "text").to_pylist()]
+            sizes = np.array([len(h) for h, _ in held], np.int64)
+            hashes = np.array([x for h, _ in held for x in h], np.uint64)
+            words = np.array([x for _, w in held for x in w], np.int64)
+            at, fp = winnow(hashes, words, sizes, gram_words, run_words)
+            stops = np.cumsum(sizes)
+            doc = np.searchsorted(stops, at, "right")
+            each = np.bincount(doc, minlength=len(sizes))
+            own = at - (stops - sizes)[doc]
+            yield build(schema, [column(batch, "doc_id"), column(batch, "_key"), _lists(hashes.view(np.int64), sizes, pa.int64()), _lists(words.astype(np.int32), sizes, pa.int32()), _lists(own.astype(np.int32), each, pa.int32()), _lists(fp.view(np.int64), each, pa.int64())])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
-    return read.mapInArrow(run, "doc_id long, _key_a long, _key_b long, hashes array<long>, words array<int>, fp_at array<int>, fp array<long>")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_key"))
+    return read.mapInArrow(run, "doc_id long, _key long, hashes array<long>, words array<int>, fp_at array<int>, fp array<long>")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(_key_a, _key_b, _spans): of each document with a later repeated run, the (first, last) lines of such runs."""
-    rows = cut(_hashed(docs, id_col, text_col, gram_words, run_words))
-    prints = rows.select(*KEYS, F.explode(F.arrays_zip("fp_at", "fp")).alias("p")).select(*KEYS, "p.fp_at", "p.fp")
-    shared = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    places = prints.join(shared, "fp").groupBy(*KEYS).agg(F.collect_set("fp_at").alias("shared"))
-    schema = pa.schema([("w_a", pa.int64()), ("w_b", pa.int64()), ("doc_id", pa.int64()), ("_key_a", pa.int64()), ("_key_b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    """(_id, _key, _spans): of each document with a later repeated run, the (first, last) lines of such runs."""
+    rows = cut(_hashed(docs, id_col, text_col, gram_words, run_words).withColumn("_row", F.monotonically_increasing_id()))
+    prints = rows.select("_row", F.explode(F.arrays_zip("fp_at", "fp")).alias("p")).select("_row", "p.fp_at", "p.fp")
+    # Cut, so that both sides of the join are plain exchanges and a fingerprint in very many places can be split.
+    shared = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    places = prints.join(shared, "fp").groupBy("_row").agg(F.sort_array(F.collect_list("fp_at")).alias("shared"))
+    schema = pa.schema([("w_a", pa.int64()), ("w_b", pa.int64()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                hashes = column(batch, "hashes")[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                words = column(batch, "words")[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                start, last, a, b = extended(hashes, words, column(batch, "shared")[row].values.to_numpy(zero_copy_only=False).astype(np.int64), gram_words, run_words)
-                if len(start):
-                    ids = [pa.array([column(batch, c)[row].as_py()] * len(start), pa.int64()) for c in ("doc_id", *KEYS)]
-                    yield build(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *ids, pa.array(start, pa.int32()), pa.array(last, pa.int32())])
-
-    whole = rows.select("doc_id", *KEYS, "hashes", "words").join(places, KEYS)
-    grown = cut(whole.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key_a long, _key_b long, first int, last int"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEYS, "first")
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                sizes = pa.compute.list_value_length(column(batch, "hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
+                base = np.cumsum(sizes) - sizes
+                marks = pa.compute.list_value_length(column(batch, "shared")).to_numpy(zero_copy_only=False).astype(np.int64)
+                shared_at = _flat(column(batch, "shared")).astype(np.int64) + np.repeat(base, marks)
+                start, last, a, b = extended(_flat(column(batch, "hashes")).view(np.uint64), _flat(column(batch, "words")).astype(np.int64), sizes, shared_at, gram_words, run_words)
+                doc = np.searchsorted(base + sizes, start, "right")
+                take = pa.array(doc)
+                yield build(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), column(batch, "doc_id").take(take), column(batch, "_key").take(take), pa.array((start - base[doc]).astype(np.int32)), pa.array((last - base[doc]).astype(np.int32))])
+
+    candidates = rows.select("_row", "doc_id", "_key", "hashes", "words").join(places, "_row").drop("_row")
+    grown = cut(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "first")
     heads = grown.groupBy("w_a", "w_b").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = grown.join(heads, ["w_a", "w_b"]).where(place > F.col("head"))
-    return later.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_spans"))
+    return later.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_spans"))
 
 
-def delete_lines(text: str | None, spans: list[dict]) -> tuple[str | None, int, int, int, int]:
-    """The text without the lines in spans; lines, words, and those deleted."""
-    pieces, at, _, words = lines_of(text)
+def delete_lines(text: str, spans: list[dict]) -> tuple[str, int, int, int]:
+    """The text without the lines in spans; how many lines and words went, and how many words are left."""
+    pieces = pieces_of(text)
+    at, _, words = lines_of(text)
     gone = np.zeros(len(at) + 1, np.int64)
     for s in spans:
         gone[s["first"]] += 1
         gone[s["last"] + 1] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    total = int(words.sum()) if len(words) else 0
-    if not gone.any():
-        return text, len(at), total, 0, 0
     keep = np.ones(len(pieces), bool)
     for i in np.nonzero(gone)[0]:
         end = at[i + 1] if i + 1 < len(at) and gone[i + 1] else at[i] + 1
         keep[at[i] : end] = False
     out = "".join(p for p, k in zip(pieces, keep.tolist()) if k)
-    return out.rstrip("\n ") if gone[-1] else out, len(at), total, int(gone.sum()), int(words[gone].sum())
+    words = np.array(words)
+    return out.rstrip("\n ") if gone[-1] else out, int(gone.sum()), int(words[gone].sum()), int(words[~gone].sum())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with its text column rewritten, and _lines, _words, _deleted_lines, _deleted_words added.
+    """docs with its text column rewritten, and _deleted_lines, _deleted_words and _emptied (no word is left) added.
 
     Later means a larger id (a null id last), then a larger hash of the text, then a later place in the text. Rows
     equal in id and text are one document: a run isn't deleted for standing in the other row. Null texts stay null;
     texts below run_words words and texts without a repeat stay as they are, to the byte; an empty table gives none.
     """
     found = repeats(docs, id_col, text_col, gram_words, run_words)
-    keyed = docs.select("*", *row_keys(id_col, text_col)).join(found, KEYS, "left")
+    keyed = docs.select("*", F.xxhash64(id_col, text_col).alias("_key_here"), F.col(id_col).cast("long").alias("_id_here"))
+    keyed = keyed.join(found, (F.col("_key_here") == F.col("_key")) & F.col("_id_here").eqNullSafe(F.col("_id")), "left")
     columns = docs.columns
-    names = [*columns, "_lines", "_words", "_deleted_lines", "_deleted_words"]
-    counts = [(n, pa.int64()) for n in names[-4:]]
+    names = [*columns, "_deleted_lines", "_deleted_words", "_emptied"]
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            spans = column(batch, "_spans").to_pylist()
-            rows = [delete_lines(t, s or []) for t, s in zip(column(batch, text_col).to_pylist(), spans)]
-            out = [pa.array([r[0] for r in rows], pa.string()) if n == text_col else column(batch, n) for n in columns]
-            yield pa.RecordBatch.from_arrays([*out, *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5))], names=names)
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {n} long" for n, _ in counts)
-    return keyed.select(*docs.columns, "_spans").mapInArrow(apply, ddl)
+            spans, texts = column(batch, "_spans"), column(batch, text_col)
+            hit = np.nonzero(spans.is_valid().to_numpy(zero_copy_only=False))[0]
+            counts = np.zeros((3, batch.num_rows), np.int64)
+            if len(hit):
+                rewritten = texts.to_pylist()
+                for i, s in zip(hit.tolist(), spans.take(pa.array(hit)).to_pylist()):
+                    rewritten[i], *counts[:, i] = delete_lines(rewritten[i], s)
+                texts = pa.array(rewritten, pa.string())
+            emptied = (counts[0] > 0) & (counts[2] == 0)
+            out = [texts if n == text_col else column(batch, n) for n in columns]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(counts[0]), pa.array(counts[1]), pa.array(emptied)], names=names)
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _deleted_lines long, _deleted_words long, _emptied boolean"
+    return keyed.select(*columns, "_spans").mapInArrow(apply, ddl)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_words").alias("n_words"), F.col("_deleted_lines").alias("n_deleted_lines"), F.col("_deleted_words").alias("n_deleted_words"), "text")
+    return out.select("doc_id", F.col("_deleted_lines").alias("n_deleted_lines"), F.col("_deleted_words").alias("n_deleted_words"), "text")
