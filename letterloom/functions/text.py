@@ -20,7 +20,7 @@ FOOTER_KEYWORDS = (
 )
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
-_BLANKS = r"[ \t\n\x0B\f\r\u0085   -     　]"
+_BLANKS = r"[ \t\n\x0B\f\r\u001C-\u001F\u0085   -     　]"
 
 
 def strip(col: Column, which: str = "both") -> Column:
