@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,6 +37,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder under the checkpoint folder, deleted when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{checkpoint_root(spark)}/letterloom-{app}"
+
+        def clear() -> None:
+            try:
+                _delete(spark, _SCRATCH[app])
+            except Exception:  # noqa: BLE001  the session may have ended before Python does
+                pass
+
+        atexit.register(clear)
+    return _SCRATCH[app]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a Parquet table to the application's scratch folder and read again, and the table's path. Cuts
+    lineage as cut() does; columnar files are smaller than checkpoints, and drop() frees them once nothing needs them."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        _delete(spark, path)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only; every other character, accented capitals included, stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

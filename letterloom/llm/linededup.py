@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, sliced, table
+from letterloom.llm.common import build, column, drop, sliced, table, written
 
 GRAM_WORDS = 20
 RUN_WORDS = 40
@@ -170,10 +170,10 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_wo
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """(_id, _key, _spans): of each document with a later repeated run, the (first, last) lines of such runs."""
-    rows = cut(_hashed(docs, id_col, text_col, gram_words, run_words).withColumn("_row", F.monotonically_increasing_id()))
+    rows, rows_path = written(_hashed(docs, id_col, text_col, gram_words, run_words).withColumn("_row", F.monotonically_increasing_id()))
     prints = rows.select("_row", F.explode(F.arrays_zip("fp_at", "fp")).alias("p")).select("_row", "p.fp_at", "p.fp")
-    # Cut, so that both sides of the join are plain exchanges and a fingerprint in very many places can be split.
-    shared = cut(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    # Written, so that both sides of the join are plain exchanges and a fingerprint in very many places can be split.
+    shared, shared_path = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     places = prints.join(shared, "fp").groupBy("_row").agg(F.sort_array(F.collect_list("fp_at")).alias("shared"))
     schema = pa.schema([("w_a", pa.int64()), ("w_b", pa.int64()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
@@ -190,7 +190,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
                 yield build(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), column(batch, "doc_id").take(take), column(batch, "_key").take(take), pa.array((start - base[doc]).astype(np.int32)), pa.array((last - base[doc]).astype(np.int32))])
 
     candidates = rows.select("_row", "doc_id", "_key", "hashes", "words").join(places, "_row").drop("_row")
-    grown = cut(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
+    grown, _ = written(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
+    drop(docs.sparkSession, rows_path, shared_path)  # what follows needs the grown runs alone
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "first")
     heads = grown.groupBy("w_a", "w_b").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = grown.join(heads, ["w_a", "w_b"]).where(place > F.col("head"))
