@@ -10,6 +10,7 @@ and words met before come from a bounded cache.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from letterloom.llm.common import build, column, sliced, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Words kept in a worker's table cache; beyond it the cache starts anew. Bounds memory, never results.
+#: Words kept in each of the two generations of a worker's table cache. Bounds memory, never results.
 CACHE_WORDS = 400_000
 #: Longer words are not cached.
 CACHE_CHARS = 40
@@ -30,21 +31,31 @@ _SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
 class _Known(dict):
-    """Words to their tables, last lengths first and counts after them; as bytes where a word is short enough to keep."""
+    """Words to their tables: the last pieces' numbers, then the counts, as bytes where a word is short enough to keep.
+
+    Two generations of CACHE_WORDS words: when the newer is full the older goes, and words still in use come along."""
 
     def __init__(self, tables: PrefixTables):
         super().__init__()
-        self.tables = tables
+        self.tables, self.older = tables, {}
 
     def __missing__(self, word: str):
-        lasts, counts = self.tables.word(word)
-        if len(word) > CACHE_CHARS:
-            return lasts + counts
+        found = self.older.get(word)
+        if found is None:
+            lasts, counts = self.tables.word(word)
+            if len(word) > CACHE_CHARS:
+                return lasts + counts
+            found = array("I", lasts).tobytes() + bytes(counts)  # 4 tokens a character at most
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        self[word] = found = bytes(lasts + counts)  # 4 tokens a character at most
+        self[word] = found
         return found
 
+    def counts(self, word: str) -> np.ndarray:
+        found, n = self[word], len(word)
+        return np.frombuffer(found, np.uint8)[4 * n :] if isinstance(found, bytes) else np.array(found[n:], np.int32)
+
 
 class PrefixTables:
     """Exact token counts of every prefix of a word, kept for words met before."""
@@ -57,8 +68,11 @@ class PrefixTables:
         self.rank = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece has a word mark inside, so words can't be counted apart")
-        self.tails = {p[k:] for p in self.rank for k in range(len(p))}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # Numbers of the pieces from 1; 0 for what only ends some piece. Characters that are no piece get numbers as they come.
+        self.names, self.cost = ["", *self.rank], [0, *([1] * len(self.rank))]
+        self.number = {p[k:]: 0 for p in self.rank for k in range(len(p))} | {p: i for i, p in enumerate(self.names) if i}
+        self.lone: dict[str, int] = {}
+        self.fits: dict[int, bool] = {}
         self.known = _Known(self)
 
     def merged(self, text: str) -> list[str]:
@@ -71,45 +85,48 @@ class PrefixTables:
             i = min(scored)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def after(self, last: str, piece: str) -> bool:
-        """Whether piece stays a token of its own right after the token last ('' at the start)."""
-        key = (last, piece)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= 2 * CACHE_WORDS:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
-        return found
+    def character(self, c: str) -> int:
+        """The number of a single character that is no piece: it is spelt in bytes."""
+        if c not in self.lone:
+            self.lone[c] = len(self.names)
+            self.names.append(c)
+            self.cost.append(len(c.encode("utf-8", "replace")))
+        return self.lone[c]
+
+    def after(self, key: int) -> bool:
+        """Whether a piece stays a token of its own right after the token before it (number 0: the start of a word)."""
+        if len(self.fits) >= 2 * CACHE_WORDS:
+            self.fits.clear()
+        last, piece = self.names[key >> 21], self.names[key & 0x1FFFFF]
+        ok = self.fits[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return ok
 
     def word(self, word: str) -> tuple[list[int], list[int]]:
-        """(lasts, counts): of the first i + 1 characters of a word the length of the last token, and how many tokens."""
-        rank, tails, fits, n = self.rank, self.tails, self.fits, len(word)
+        """(lasts, counts): of the first i + 1 characters of a word the number of the last token, and how many tokens."""
+        number, fits, cost, n = self.number.get, self.fits.get, self.cost, len(word)
         lasts, counts = [0], [0]
         known = self.known.get
         for k in range(n - 1, max(n - 5, 0), -1):  # go on from a word met before with a few characters less
-            if (found := known(word[:k])) is not None:
-                lasts += found[:k]
-                counts += found[k:]
+            if (found := known(word[:k])) is not None and isinstance(found, bytes):
+                lasts += array("I", found[: 4 * k])
+                counts += found[4 * k :]
                 break
         for i in range(len(counts), n + 1):
-            low = i - 1
-            fitting = [low]
-            while low and (piece := word[low - 1 : i]) in tails:
-                low -= 1
-                if piece in rank:
-                    fitting.append(low)
-            for j in reversed(fitting):
-                piece = word[j:i]
-                last = word[j - lasts[j] : j]
-                ok = fits.get((last, piece))
-                if ok is None:
-                    ok = self.after(last, piece)
-                if ok:
-                    counts.append(counts[j] + (1 if piece in rank else len(piece.encode())))
-                    lasts.append(i - j)
+            j = i - 1
+            starts, pieces = [j], [number(word[j]) or self.character(word[j])]
+            while j and (piece := number(word[j - 1 : i])) is not None:
+                j -= 1
+                if piece:
+                    starts.append(j)
+                    pieces.append(piece)
+            while True:  # the longest piece is tried first; exactly one fits
+                j, piece = starts.pop(), pieces.pop()
+                key = lasts[j] << 21 | piece
+                ok = fits(key)
+                if ok or ok is None and self.after(key):
                     break
-            else:
-                raise AssertionError(f"no token ends at {i} of {word!r}")
+            counts.append(counts[j] + cost[piece])
+            lasts.append(piece)
         return lasts[1:], counts[1:]
 
     def segments(self, text: str) -> list[str]:
@@ -123,7 +140,7 @@ class PrefixTables:
         out = np.zeros(len(text or "") + 1, np.int32)
         at, total = -1, 0  # the mark before the text is no character of its own
         for segment in self.segments(text or ""):
-            table = np.array(self.known[segment][len(segment) :], np.int32) if len(segment) > CACHE_CHARS else np.frombuffer(self.known[segment], np.uint8)[len(segment) :]
+            table = self.known.counts(segment)
             lo = at + 1
             out[max(lo, 0) : lo + len(table)] = total + table[max(-lo, 0) :].astype(np.int32)
             at, total = at + len(table), total + int(table[-1])
