@@ -46,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets the rate, and the whole copies, that bring the domains to their target weights."""
     mixed = mix(docs, table(spark, sf_dir, "labels"))
     posterior = [(F.col("_shares")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return mixed.select(*docs.columns, F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", "text").alias("n_copies"))
+    return mixed.select(*docs.columns, F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", F.xxhash64("text")).alias("n_copies"))
 
 
 STAGES = [

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, sliced, table
+from letterloom.llm.common import column, cut, sliced, table, written
 from letterloom.llm.labelled import sample
 from letterloom.llm.toxicity import ToxicityModel, fit_texts
 
@@ -105,9 +105,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: Mapping[str, tuple]
     return model
 
 
-def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", grid: int = GRID) -> DataFrame:
-    """docs with _shares (one whole number for each domain, of grid in all) and _tokens (white-space words) added."""
-    columns = docs.columns
+def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", grid: int = GRID, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep) with _shares (one whole number for each domain, of grid in all) and _tokens
+    (white-space words) added."""
+    columns = list(docs.columns if keep is None else keep)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
@@ -115,7 +116,7 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", gri
             shares = pa.array(rounded(p, grid).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in columns), shares, pa.array(n, pa.int64())], names=[*columns, "_shares", "_tokens"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.mapInArrow(score, f"{ddl}, _shares array<int>, _tokens long")
 
 
@@ -155,15 +156,15 @@ def rate_of(shares, steps: Sequence[np.ndarray], grid: int = GRID):
     return F.aggregate(literal, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, shares, lambda a, b: a * b / grid), F.lit(0.0), lambda x, y: x + y)))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", grid: int = GRID, iterations: int = ITERATIONS) -> DataFrame:
-    """docs with _tokens, _shares and _rate added; the mix has as many expected tokens as docs.
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", grid: int = GRID, iterations: int = ITERATIONS, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs (or its columns to keep) with _tokens, _shares and _rate added; the mix has as many expected tokens as docs.
 
     Targets of domains without members can't be met and are left out, the others scaled to one. Null and empty texts
     have no tokens and the posterior of an empty text. Repeated rows share a rate; null ids keep their rows; an empty
     table gives none.
     """
     model = fit_domains(docs, labels, domains, label_cols, id_col, text_col)
-    scored = memberships(docs, model, text_col, grid)
+    scored, _ = written(memberships(docs, model, text_col, grid, keep))  # the texts are scored once
     light = cut(scored.groupBy("_shares").agg(F.sum("_tokens").alias("tokens")))
     k = len(domains)
     held = light.agg(*[F.sum(F.col("tokens") * F.col("_shares")[i]) for i in range(k)]).first()
@@ -182,7 +183,7 @@ def copies(rate, *keys):
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    mixed = mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "key"])
     posterior = [(F.col("_shares")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", "text").alias("n_copies"))
+    return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", "key").alias("n_copies"))
