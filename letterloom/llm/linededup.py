@@ -24,6 +24,8 @@ from letterloom.llm.common import build, column, drop, sliced, table, written
 
 GRAM_WORDS = 20
 RUN_WORDS = 40
+#: Lines that a worker extends at a time.
+SLICE_LINES = 100_000
 
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -147,6 +149,17 @@ def _flat(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False)
 
 
+def _by_lines(batch: pa.RecordBatch, column_name: str = "hashes", most: int = SLICE_LINES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many lines (or a single row): long documents may stand together."""
+    ends = np.cumsum(pa.compute.list_value_length(column(batch, column_name)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str, gram_words: int, run_words: int) -> DataFrame:
     """doc_id, _key, and the hashes and words of the lines, and the places and hashes of the fingerprints."""
     schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("fp_at", pa.list_(pa.int32())), ("fp", pa.list_(pa.int64()))])
@@ -179,7 +192,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
 
     def grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+            for batch in _by_lines(whole):
                 sizes = pa.compute.list_value_length(column(batch, "hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
                 base = np.cumsum(sizes) - sizes
                 marks = pa.compute.list_value_length(column(batch, "shared")).to_numpy(zero_copy_only=False).astype(np.int64)
