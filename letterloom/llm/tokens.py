@@ -23,7 +23,7 @@ from letterloom.llm.common import build, column, sliced, table
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Words kept in each of the two generations of a worker's table cache. Bounds memory, never results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Longer words are not cached.
 CACHE_CHARS = 40
 MARK = "▁"
