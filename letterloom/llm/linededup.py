@@ -185,7 +185,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     """(_id, _key, _spans): of each document with a later repeated run, the (first, last) lines of such runs."""
     rows, rows_path = written(_hashed(docs, id_col, text_col, gram_words, run_words).withColumn("_row", F.monotonically_increasing_id()))
     prints = rows.select("_row", F.explode(F.arrays_zip("fp_at", "fp")).alias("p")).select("_row", "p.fp_at", "p.fp")
-    # Written, so that both sides of the join are plain exchanges and a fingerprint in very many places can be split.
+    # Written, as the heads are below, so that both sides of the join are plain exchanges and a fingerprint in very many
+    # places can be split.
     shared, shared_path = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     places = prints.join(shared, "fp").groupBy("_row").agg(F.sort_array(F.collect_list("fp_at")).alias("shared"))
     schema = pa.schema([("w_a", pa.int64()), ("w_b", pa.int64()), ("doc_id", pa.int64()), ("_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
@@ -206,7 +207,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     grown, _ = written(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
     drop(docs.sparkSession, rows_path, shared_path)  # what follows needs the grown runs alone
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "first")
-    heads = grown.groupBy("w_a", "w_b").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    heads, _ = written(grown.groupBy("w_a", "w_b").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
     later = grown.join(heads, ["w_a", "w_b"]).where(place > F.col("head"))
     return later.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_spans"))
 
