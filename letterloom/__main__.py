@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from letterloom import api
@@ -56,7 +57,8 @@ def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wa
                 details = {"processed": total, "clean": total - sum(reasons.values()), "spam": sum(reasons.values())}
                 with open(workspace.path("reports", "summary.txt"), "w", encoding="utf-8") as f:
                     size = made.parsed.selectExpr("coalesce(sum(length), 0)").first()[0]
-                    f.write(stats.summary_text("inputs", details["clean"], reasons, 0, size, 0, 0))
+                    folder = lambda name: sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(workspace.path(name)) for x in names)
+                    f.write(stats.summary_text("inputs", details["clean"], reasons, 0, size, folder("clean"), folder("spam")))
                 made.parsed.unpersist()
             elif stage == "vectorize":
                 store, records = Store(spark, workspace.path("embeddings")), stages.good_records(read_lines(spark, workspace.path("clean", "*.json")))[0]
@@ -94,9 +96,10 @@ def main(argv: list[str] | None = None) -> int:
     command("pipeline", (["mbox"], {"nargs": "+"}), (["--workspace"], {"required": True}), (["--stages"], {}), (["--refresh"], {"action": "store_true"}), (["--no-resume"], {"action": "store_true"}), (["--years"], {"type": int, "nargs": "*"}))
     command("query", (["text"], {}), (["--limit"], {"type": int, "default": 20}), db, aliases=["search"])
     command("stats", db)
+    command("serve", (["--host"], {"default": "127.0.0.1"}), (["--port"], {"type": int, "default": 8000}), db)
     command("dedupe", (["--dry-run"], {"action": "store_true"}), db)
     command("message", (["--email-id"], {}), (["--message-id"], {}), (["--workspace"], {"required": True}), (["--output"], {}))
-    command("validate", (["path"], {}))
+    command("validate", (["path"], {}), (["--strict"], {"action": "store_true"}), (["--max-errors"], {"type": int}))
     command("ignore-init", (["path"], {}))
     command("ignore-apply", (["clean"], {}), (["--rules"], {"required": True}), (["--kept"], {"required": True}), (["--ignored"], {"required": True}))
     command("workspace-init", (["path"], {}))
@@ -109,6 +112,10 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(api.search(_engine(a, s), a.text, a.limit), indent=2, default=str))
     elif a.command == "stats":
         print(json.dumps(api.statistics(_engine(a, s)), indent=2, default=str))
+    elif a.command == "serve":
+        from letterloom.serve import serve
+
+        serve(_engine(a, s), a.host, a.port).serve_forever()
     elif a.command == "dedupe":
         store = Store(_spark(), a.db or s.db_path)
         print(json.dumps({name: store.dedupe(name, key, a.dry_run) for name, key in (("emails", "email_id"), ("email_chunks", "chunk_id"))}))
@@ -125,9 +132,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             sys.stdout.buffer.write(raw)
     elif a.command == "validate":
-        from letterloom.operators.validate import summary, validated
+        from letterloom.operators.validate import checked_summary
 
-        print(json.dumps(summary(validated(read_lines(_spark(), a.path))).first().asDict()))
+        print(json.dumps(checked_summary(read_lines(_spark(), a.path), a.strict, a.max_errors)))
     elif a.command == "ignore-init":
         rules.write_template(a.path)
     elif a.command == "ignore-apply":

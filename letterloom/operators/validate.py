@@ -116,3 +116,12 @@ def summary(checked: DataFrame) -> DataFrame:
     """total, valid and errors in one row."""
     good = F.col("record").isNotNull() & (F.size("issues") == 0)
     return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if(good).alias("valid"), F.count_if(~good).alias("errors"))
+
+
+def checked_summary(lines: DataFrame, strict: bool = False, max_errors: int | None = None) -> dict:
+    """total, valid and errors; raises where strict allows no error, or where more than max_errors are found."""
+    found = summary(validated(lines)).first().asDict()
+    most = 0 if strict else max_errors
+    if most is not None and found["errors"] > most:
+        raise ValueError(f"{found['errors']} of {found['total']} records are invalid")
+    return found

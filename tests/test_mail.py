@@ -19,7 +19,12 @@ from letterloom.plans.prompts import ChatBackend, StubBackend, context
 from letterloom.plans.query import heuristic_plan, json_object, merged_plan, parse, plan_query
 from letterloom.plans.store import Store
 from letterloom.plans.workspace import Workspace
+from letterloom.serve import route
 from letterloom.settings import Settings
+from letterloom.operators.stats import summary_text
+from letterloom.operators.validate import checked_summary
+from letterloom.sources.mail import clean_names, count_mail, head_lines, observed, raw_messages, read_mail
+from letterloom.sources.mailjson import read_clean
 from letterloom.sources.mbox import envelope, read_mbox, read_message
 
 ENCODED = """From alice@example.com Mon Jan  3 08:10:00 +0000 2005
@@ -132,6 +137,30 @@ def test_preprocess(spark, mailbox):
         stages.find(made.index)
 
 
+def test_mail_inputs(spark, mailbox, tmp_path):
+    made = stages.preprocess(read_mbox(spark, mailbox))
+    assert read_mail(spark, mailbox).count() == 4 == count_mail(spark, mailbox)
+    raw = raw_messages(spark, mailbox, made.index.where("message_id = 'm2@example.com'")).collect()
+    assert len(raw) == 1 and raw[0]["raw"].startswith(b"From bob@")
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"headers": {"subject": "s"}, "content": []}\n\n{bad json}\n')
+    records, errors = read_clean(spark, str(path))
+    assert records.count() == 1 and [r["kind"] for r in errors.collect()] == ["json_decode"] and count_mail(spark, str(path)) == 2
+    rows, seen = observed(read_mail(spark, mailbox), "seen")
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 4} and head_lines(spark, mailbox, 2).count() == 2
+    assert clean_names("a/b.mbox", "o")["spam"] == "o/b.spam.jsonl"
+    lines = spark.read.text(str(path)).withColumnRenamed("value", "line").where("line <> ''")
+    assert checked_summary(lines) == {"total": 2, "valid": 0, "errors": 2}
+    with pytest.raises(ValueError):
+        checked_summary(lines, strict=True)
+
+
+def test_summary_text():
+    text = summary_text("box", 4, {"b": 1, "a": 2}, 0, 1000, 250, 10)
+    assert "reduction: 75.0%" in text and text.index("  a: 2") < text.index("  b: 1")
+
+
 def test_header_quirks():
     assert H.decode_words("=?UTF-8?B?SGVsbG8g4piD?=") == "Hello ☃"
     assert H.decode_words("=?bad") == "=?bad"
@@ -193,6 +222,9 @@ def test_pipeline_to_search(spark, mailbox, tmp_path, capsys):
     store.append(rows.limit(1), "emails")
     assert store.dedupe("emails", "email_id", dry_run=True) == 1 and store.read("emails").count() == 4
     assert store.dedupe("emails", "email_id") == 1 and store.read("emails").count() == 3
+    assert route(engine, "GET", "/health")[1]["status"] == "ok" and route(engine, "GET", f"/emails/{ident}/similar?limit=1")[0] == 200
+    assert route(engine, "POST", "/search", {"query": "how many emails in 2024"})[1]["count"] == 1
+    assert [route(engine, "GET", p)[0] for p in ("/search", "/emails/none", "/nope")] == [422, 404, 404]
     backend = StubBackend(['{"filters": {"year": 2024, "drop": 1}}', "It is [1]."])
     answer = Engine(store, HashingProvider(32), backend).answer("report", 5)
     assert answer.answer == "It is [1]." and answer.plan.filters == {"year": 2024} and "Quarterly report" in backend.prompts[-1]
