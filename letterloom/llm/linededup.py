@@ -264,3 +264,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_deleted_lines").alias("n_deleted_lines"), F.col("_deleted_words").alias("n_deleted_words"), "text")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text FROM documents),
+pc AS (
+  SELECT doc_id, k, p[k] AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (
+    SELECT doc_id, string_split(replace(replace(replace(replace(text, chr(10), chr(10) || chr(1)), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)), chr(1)) AS p FROM d))
+), wd AS (
+  SELECT doc_id, k, regexp_extract_all(lower(piece), '[^\s\x0B\x1C-\x1F\x{85}\x{a0}]+') AS w FROM pc
+), ln AS (
+  SELECT doc_id, k, array_to_string(w, ' ') AS norm, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
+         sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS cum FROM wd WHERE len(w) > 0
+), runs AS (
+  SELECT a.doc_id, a.i AS s, b.i AS e FROM (SELECT *, cum - n + 40 AS goal FROM ln) a ASOF JOIN ln b ON a.doc_id = b.doc_id AND a.goal <= b.cum
+  UNION
+  SELECT a.doc_id, b.i, a.i FROM (SELECT *, cum - 40 AS goal FROM ln) a ASOF JOIN (SELECT *, cum - n AS pre FROM ln) b ON a.doc_id = b.doc_id AND a.goal >= b.pre
+), body AS (SELECT doc_id, list(norm ORDER BY i) AS norms FROM ln GROUP BY doc_id),
+held AS (SELECT doc_id, s, e, md5(array_to_string(norms[s : e], chr(10))) AS content FROM runs JOIN body USING (doc_id)),
+later AS (
+  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS r FROM held) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later),
+span AS (
+  SELECT doc_id, a.k AS first, CASE WHEN c.i IS NULL THEN a.k ELSE b.k - 1 END AS last, a.n, b.k IS NULL AS at_end
+  FROM ln a JOIN gone g USING (doc_id, i) LEFT JOIN ln b ON b.doc_id = a.doc_id AND b.i = a.i + 1 LEFT JOIN gone c ON c.doc_id = a.doc_id AND c.i = a.i + 1
+), cut AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS k FROM span),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY k) AS t FROM pc ANTI JOIN cut USING (doc_id, k) GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS l, sum(n) AS n, bool_or(at_end) AS at_end FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(l, 0)::BIGINT AS n_deleted_lines, coalesce(n, 0)::BIGINT AS n_deleted_words,
+       CASE WHEN l IS NULL THEN text WHEN at_end THEN rtrim(coalesce(t, ''), chr(10) || ' ') ELSE coalesce(t, '') END AS text
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -29,4 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": lines.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_secret_scan": secrets.OP9_SQL}
+    return {
+        "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+        "op6_quality_rules": lines.OP6_SQL,
+        "op7_line_dedup": linededup.OP7_SQL,
+        "op8_license_scan": licenses.OP8_SQL,
+        "op9_secret_scan": secrets.OP9_SQL,
+    }
