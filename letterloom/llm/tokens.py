@@ -27,7 +27,11 @@ CACHE_WORDS = 600_000
 #: Longer words are not cached.
 CACHE_CHARS = 40
 MARK = "▁"
+_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = f"(?:[^\\w{MARK}\n]|[\\d_])"
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+#: The same, cut further between letters and other characters.
+_FINE = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}+{_OTHER}*|{_OTHER}+|\n")
 
 
 class _Known(dict):
@@ -68,6 +72,11 @@ class PrefixTables:
         self.rank = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece has a word mark inside, so words can't be counted apart")
+        # A merge can only cross where a piece has those two characters side by side. Letters and other characters (but for
+        # the mark) never are, save in pieces with the characters kept here: texts that have one are cut at marks alone.
+        beside = {(a, b) for p in self.rank for a, b in zip(p, p[1:]) if MARK not in (a, b)}
+        self.mixing = sorted({c for a, b in beside if bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for c in (a, b) if ord(c) > 127})
+        self.coarse = any(bool(_LETTER.match(a)) != bool(_LETTER.match(b)) and max(ord(a), ord(b)) < 128 for a, b in beside)
         # Numbers of the pieces from 1; 0 for what only ends some piece. Characters that are no piece get numbers as they come.
         self.names, self.cost = ["", *self.rank], [0, *([1] * len(self.rank))]
         self.number = {p[k:]: 0 for p in self.rank for k in range(len(p))} | {p: i for i, p in enumerate(self.names) if i}
@@ -130,7 +139,11 @@ class PrefixTables:
         return lasts[1:], counts[1:]
 
     def segments(self, text: str) -> list[str]:
-        return _SEGMENTS.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Parts of the marked text that no merge crosses."""
+        if not text:
+            return []
+        fine = not self.coarse and not any(c in text for c in self.mixing)
+        return (_FINE if fine else _SEGMENTS).findall(MARK + text.replace(" ", MARK))
 
     def count(self, text: str | None) -> int:
         return sum([t[-1] for t in map(self.known.__getitem__, self.segments(text or ""))])
