@@ -165,7 +165,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     """
     model = fit_domains(docs, labels, domains, label_cols, id_col, text_col)
     scored, _ = written(memberships(docs, model, text_col, grid, keep))  # the texts are scored once
-    light = cut(scored.groupBy("_shares").agg(F.sum("_tokens").alias("tokens")))
+    light = cut(scored.groupBy("_shares").agg(F.sum("_tokens").alias("tokens")).coalesce(1))  # the grid bounds its rows
     k = len(domains)
     held = light.agg(*[F.sum(F.col("tokens") * F.col("_shares")[i]) for i in range(k)]).first()
     wanted = np.array([targets[d] if (held[i] or 0) > 0 else 0.0 for i, d in enumerate(domains)])

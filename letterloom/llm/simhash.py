@@ -25,8 +25,8 @@ from letterloom.llm.components import connected_components
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Rows of a bucket beyond which it is split into shards compared pair by pair.
-TILE_ROWS = 16384
+#: Rows of a bucket beyond which it is split into shards compared pair by pair: two shards are 4 MB, compared in about a minute.
+TILE_ROWS = 1 << 18
 #: Rows and columns of one exclusive-or tile: 2 MB of 64-bit words.
 TILE_SIDE = 512
 
