@@ -120,17 +120,18 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", gri
     return docs.mapInArrow(score, f"{ddl}, _shares array<int>, _tokens long")
 
 
-def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, int]:
+def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[tuple[float, ...]], np.ndarray, int]:
     """Projected gradient for: least sum over domains of (expected tokens - target)^2 / tokens held, every rate at least 0.
 
     cells(_shares, tokens): tokens by posterior. In the metric that weighs a cell by its tokens the gradient of a rate
-    is posterior . (residual / held), so from rates of one each step is rate = max(0, rate - posterior . step); the
-    division keeps small domains as quick to fit as large ones. Returns the steps, the reached shares of the targets'
-    total, and the total. The steps alone give any document its rate.
+    is posterior . (residual / held), so from rates of one each step is rate = max(0, ahead - posterior . step), where
+    ahead carries on the last change (Nesterov's acceleration); the division keeps small domains as quick to fit as
+    large ones. Returns the steps (the vector and the next momentum), the reached shares of all tokens, and the tokens.
+    The steps alone give any document its rate.
     """
     k = len(targets)
     total = int(cells.agg(F.sum("tokens")).first()[0] or 0)
-    steps: list[np.ndarray] = []
+    steps: list[tuple[float, ...]] = []
     if not total:
         return steps, np.zeros(k), 0
     p = [F.col("_shares")[i] / grid for i in range(k)]
@@ -138,22 +139,37 @@ def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iter
     gram = np.array(gram).reshape(k, k)
     held = np.maximum(gram.sum(axis=1), 1e-9)
     size = 1 / max(float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(held, held)))[-1]), 1e-12)
-    target = np.asarray(targets, float)
+    target, speed = np.asarray(targets, float), 1.0
     for at in range(iterations + 1):
-        state = cells.withColumn("rate", rate_of(F.col("_shares"), steps, grid))
-        reached = np.array(state.agg(*[F.sum(F.col("tokens") / total * F.col("rate") * p[i]) for i in range(k)]).first(), float)
+        state = cells.withColumn("s", _walked(F.col("_shares"), steps, grid))
+        sums = state.agg(*[F.sum(F.col("tokens") / total * F.col(f"s.{which}") * p[i]) for which in ("rate", "ahead") for i in range(k)]).first()
+        reached, ahead = np.array(sums, float).reshape(2, k)
         if at == iterations or np.abs(reached - target).max() <= tolerance:
             break
-        steps.append(size * (reached - target) / held)
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        steps.append((*(size * (ahead - target) / held).tolist(), float((speed - 1) / faster)))
+        speed = faster
     return steps, reached, total
 
 
-def rate_of(shares, steps: Sequence[np.ndarray], grid: int = GRID):
-    """The rate that the steps give to a posterior, starting from one."""
+def _walked(shares, steps: Sequence[tuple[float, ...]], grid: int):
+    """struct<rate, ahead> that the steps give to a posterior, starting from one."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
-        return F.lit(1.0)
-    literal = F.from_json(F.lit(str([[float(x) for x in s] for s in steps])), "array<array<double>>")
-    return F.aggregate(literal, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, shares, lambda a, b: a * b / grid), F.lit(0.0), lambda x, y: x + y)))
+        return start
+    literal = F.from_json(F.lit(str([list(s) for s in steps])), "array<array<double>>")
+
+    def step(state, s):
+        parts = F.zip_with(F.slice(s, 1, F.size(shares)), shares, lambda a, b: a * b / grid)
+        rate = F.greatest(F.lit(0.0), state["ahead"] - F.aggregate(parts, F.lit(0.0), lambda x, y: x + y))
+        ahead = F.greatest(F.lit(0.0), rate + F.element_at(s, -1) * (rate - state["rate"]))
+        return F.struct(rate.alias("rate"), ahead.alias("ahead"))
+
+    return F.aggregate(literal, start, step)
+
+
+def rate_of(shares, steps: Sequence[tuple[float, ...]], grid: int = GRID):
+    return _walked(shares, steps, grid)["rate"]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", grid: int = GRID, iterations: int = ITERATIONS, keep: Sequence[str] | None = None) -> DataFrame:
