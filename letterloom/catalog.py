@@ -291,6 +291,12 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 30")
+def fts_scan_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fulltext.scan(table(spark, sf_dir, "documents"), _TERMS, 30, "doc_id", ["text"])
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"""
 WITH {_DISTANCES}, {_BM25},
 s AS (SELECT vec_id AS k, row_number() OVER (ORDER BY dist, vec_id) AS r FROM d ORDER BY dist, vec_id LIMIT 40),
@@ -311,8 +317,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = hybrid.ranked(near, "distance", "vec_id")
     subject = ranks.where(F.col("rank") <= n_subject).select(F.col("vec_id").alias("key"), "rank")
     body = ranks.select(F.floor(F.col("vec_id") / 4).alias("key"), "rank")
-    index = fulltext.build(table(spark, sf_dir, "documents"), "doc_id", ["text"])
-    text = hybrid.ranked(fulltext.search(index, _TERMS, n_text), F.desc("score"), "key")
+    text = hybrid.ranked(fulltext.scan(table(spark, sf_dir, "documents"), _TERMS, n_text, "doc_id", ["text"]), F.desc("score"), "key")
     return hybrid.fuse(subject, body, text, 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "shown")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,11 +40,37 @@ def build(rows: DataFrame, key: str = "email_id", columns: Sequence[str] = COLUM
     return Index(postings, held.select("key", F.size("t").cast("long").alias("len")))
 
 
+def _terms(query: str | Sequence[str]) -> list[str]:
+    return sorted({t for t in re.findall(r"[^\W_]+", query.lower())} if isinstance(query, str) else {t.lower() for t in query})
+
+
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term)).cast("long")
+
+
+def _part(tf: Column, df: Column) -> Column:
+    """A term's part of the score; docs, avg_len and len are columns of the row."""
+    idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def scan(rows: DataFrame, query: str | Sequence[str], k: int, key: str = "email_id", columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """search() without an index: two scans, no shuffle of text or postings; terms are counted inside each row."""
+    terms = _terms(query)
+    held = rows.select(F.col(key).alias("key"), tokens(F.concat_ws(" ", *columns)).alias("t"))
+    counted = held.select("key", F.size("t").cast("long").alias("len"), *[_times(F.col("t"), term).alias(f"tf{i}") for i, term in enumerate(terms)])
+    totals = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    score = sum((_part(F.col(f"tf{i}"), F.col(f"df{i}")) for i in range(len(terms))), F.lit(0.0))
+    found = F.lit(False)
+    for i in range(len(terms)):
+        found = found | (F.col(f"tf{i}") > 0)
+    scored = counted.where(found).join(F.broadcast(totals)).select("key", score.alias("score"))  # totals: one row
+    return scored.orderBy(F.desc("score"), "key").limit(k)
+
+
 def search(index: Index, query: str | Sequence[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
     """key and score of the k best, ties by key; any of the terms may match. allowed: the keys to search among."""
-    import re
-
-    terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower())} if isinstance(query, str) else {t.lower() for t in query})
+    terms = _terms(query)
     hits = index.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = index.stats.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
@@ -51,6 +78,4 @@ def search(index: Index, query: str | Sequence[str], k: int, allowed: DataFrame
         hits = hits.join(allowed.select(F.col(allowed.columns[0]).alias("key")), "key", "left_semi")
     # One row for each term of the query, and one row of totals: bounded by the query.
     scored = hits.join(F.broadcast(df), "term").join(index.stats, "key").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.groupBy("key").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "key").limit(k)
+    return scored.groupBy("key").agg(F.sum(_part(F.col("tf"), F.col("df"))).alias("score")).orderBy(F.desc("score"), "key").limit(k)
