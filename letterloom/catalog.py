@@ -395,6 +395,12 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_samp(value), 6) AS deviation FROM events GROUP BY 1")
+def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.spread(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("event_type", F.round("mean", 6).alias("mean"), "least", "most", F.round("deviation", 6).alias("deviation"))
+
+
 # ---- Bulk mail and ignore rules ---------------------------------------------------------------------------------------
 
 

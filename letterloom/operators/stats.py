@@ -30,6 +30,11 @@ def histogram(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.groupBy(reason).agg(F.count(F.lit(1)).alias("n")).orderBy(reason)
 
 
+def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """mean, min, max and sample deviation of a value by group, for rates and timings."""
+    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_samp(value).alias("deviation"))
+
+
 def summary_text(source: str, clean: int, reasons: dict[str, int], errors: int, original_bytes: int, clean_bytes: int, spam_bytes: int) -> str:
     """The cleanup report: counts, spam reasons in order, sizes and the reduction in percent."""
     spam = sum(reasons.values())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.operators import fulltext
-from letterloom.operators.dedupe import keep_first
+from letterloom.operators.dedupe import keep_first, upsert
 from letterloom.schemas import CHUNK_VECTORS, EMAIL_CHUNKS, EMAIL_VECTORS, EMAILS, columns
 
 SCHEMAS = {"emails": EMAILS, "email_chunks": EMAIL_CHUNKS, "email_vectors": EMAIL_VECTORS, "chunk_vectors": CHUNK_VECTORS}
@@ -58,6 +58,10 @@ class Store:
         fs.delete(old, True)
         fs.rename(new, old)
 
+    def upsert(self, rows: DataFrame, name: str, keys: list[str]) -> None:
+        """Rows in place of stored ones with equal keys; rows of this batch must be unique by them."""
+        self.replace(upsert(self.read(name), rows.select(*columns(SCHEMAS[name])), keys), name)
+
     def drop(self, name: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

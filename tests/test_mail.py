@@ -232,6 +232,32 @@ def test_pipeline_to_search(spark, mailbox, tmp_path, capsys):
     assert workspace.refresh(["ingest"]) and not workspace.done("ingest")
 
 
+def test_store_upsert(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "u"))
+    store.create(spark.createDataFrame([("a", [1.0], 1), ("b", [2.0], 1)], "email_id string, subject_vector array<float>, chunk_count int"), "email_vectors")
+    store.upsert(spark.createDataFrame([("b", [3.0], 2), ("c", [4.0], 1)], "email_id string, subject_vector array<float>, chunk_count int"), "email_vectors", ["email_id"])
+    assert {r["email_id"]: r["subject_vector"] for r in store.read("email_vectors").collect()} == {"a": [1.0], "b": [3.0], "c": [4.0]}
+    store.compact("email_vectors")
+    assert store.read("email_vectors").count() == 3 and store.names() == ["email_vectors"]
+    store.drop("email_vectors")
+    assert store.names() == [] and store.read("email_vectors").count() == 0
+
+
+def test_repair_and_refusal(spark, mailbox, tmp_path):
+    """Mail whose stored vectors are missing or belong to other chunks is embedded anew, or refused."""
+    clean = stages.preprocess(read_mbox(spark, mailbox)).clean
+    store, by = Store(spark, str(tmp_path / "r")), HashingProvider(16)
+    with pytest.raises(ValueError, match="without stored vectors"):
+        stages.ingest(store, clean, by, repair=False)
+    vectors, chunks = stages.vectorize(stages.to_emails(clean), by)
+    store.create(vectors.withColumn("subject_vector", F.array_repeat(F.lit(0.5), 16)), "email_vectors")
+    store.create(chunks, "chunk_vectors")
+    assert stages.ingest(store, clean, by, repair=False) == 3
+    assert {tuple(r[0]) for r in store.read("emails").select("subject_vector").collect()} == {(0.5,) * 16}
+    assert stages.ingest(store, clean, by) == 0 and store.read("emails").count() == 3
+    assert store.read("email_chunks").where("body_vector is null or size(body_vector) <> 16").count() == 0
+
+
 def test_meta_mismatch(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.ensure_meta({"embedding_dimension": 8})
