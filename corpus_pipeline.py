@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import checkpoint_root, table
+from letterloom.llm.common import scratch, table
 from letterloom.llm.decontaminate import decontaminate
 from letterloom.llm.linededup import dedup_lines
 from letterloom.llm.mixing import DOMAINS, GRID, copies, mix
@@ -62,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{checkpoint_root(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows; the stages' tables stay in the scratch folder until the driver's Python ends."""
+    root = f"{scratch(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         path = f"{root}/{n}-{name}"
