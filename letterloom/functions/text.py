@@ -77,9 +77,14 @@ def clean_text(body: Column) -> Column:
     return strip(F.regexp_replace(out, "\n{4,}", "\n\n\n"))
 
 
-def _cut_before(parts: Column, first: Column, otherwise: Column) -> Column:
-    """The lines before place first (from 1) joined and right-trimmed; otherwise where first is null."""
-    return F.when(first.isNull(), otherwise).otherwise(strip(joined(F.slice(parts, F.lit(1), F.greatest(first - 1, F.lit(0)))), "right"))
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
+def _head(parts: Column, n: Column) -> Column:
+    """The first n lines joined and right-trimmed."""
+    return strip(joined(F.slice(parts, F.lit(1), n)), "right")
 
 
 def _places(parts: Column, test) -> Column:
@@ -88,53 +93,68 @@ def _places(parts: Column, test) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+def _cut_at(parts: Column, place: Column, otherwise: Column) -> Column:
+    """The lines before a place (from 1) joined and right-trimmed; otherwise where the place is null."""
+    return _bound(place, lambda at: F.when(at.isNull(), otherwise).otherwise(_head(parts, F.coalesce(at - 1, F.lit(0)))))
+
+
+def _line(*patterns: str) -> str:
+    """One pattern for a line that, without blanks at its ends, matches any of the patterns."""
+    return f"(?i)^{_BLANKS}*(?:{'|'.join(patterns)})"
+
+
+_RULES = _line(rf"(?:[_-]{{3,}}|--|—){_BLANKS}*$")
+_CLOSERS = _line(*CLOSERS)
+_REPLIES = _line(*(m.replace(r"\s*$", "$").replace("$", f"{_BLANKS}*$") if m.endswith("$") else rf"From:\s+.*(?!{_BLANKS})." for m in REPLY_MARKS))
+_SIGNATURES = _line(rf"(?:--|__+){_BLANKS}*$", "sent from my")
+_FOOTERS = "(?i)" + "|".join(FOOTER_KEYWORDS)
+
+
 def remove_signature(body: Column) -> Column:
     """Cut at a signature mark, or past four fifths of the lines at a closing phrase, if any text stands before."""
-    parts = lines(body)
 
-    def mark(line: Column, i: Column) -> Column:
-        low = F.lower(strip(line))
-        rule = low.isin("--", "—") | low.rlike(r"^[_-]{3,}\z")
-        late = (i - 1) * 10 > F.size(parts) * 8
-        return rule | (late & any_of([low.startswith(c) for c in CLOSERS]))
+    def cut(parts: Column) -> Column:
+        late = F.size(parts) * 8
+        first = F.array_min(_places(parts, lambda line, i: line.rlike(_RULES) | (((i - 1) * 10 > late) & line.rlike(_CLOSERS))))
+        return _cut_at(parts, first, body)
 
-    cut = strip(_cut_before(parts, F.array_min(_places(parts, mark)), body))
-    return F.when(cut == "", body).otherwise(cut)
+    return _bound(strip(_bound(lines(body), cut)), lambda text: F.when(text == "", body).otherwise(text))
 
 
 def strip_reply_chain(body: Column) -> Column:
     """Cut at the first line that opens a quoted message; then trailing quoted lines go."""
-    parts = F.split(body, "\n")
 
-    def opens(line: Column, _: Column) -> Column:
-        bare = strip(line)
-        return any_of([bare.rlike(f"(?i)^{m}") for m in REPLY_MARKS])
+    def own(kept: Column) -> Column:
+        return _head(kept, F.coalesce(F.array_max(_places(kept, lambda line, _: ~line.rlike(f"^{_BLANKS}*>"))), F.lit(0)))
+
+    def cut(parts: Column) -> Column:
+        first = F.array_min(_places(parts, lambda line, _: line.rlike(_REPLIES)))
+        return _bound(_bound(first, lambda at: F.when(at.isNull(), parts).otherwise(F.slice(parts, F.lit(1), F.coalesce(at - 1, F.lit(0))))), own)
 
-    first = F.array_min(_places(parts, opens))
-    kept = F.when(first.isNull(), parts).otherwise(F.slice(parts, F.lit(1), F.greatest(first - 1, F.lit(0))))
-    own = F.array_max(_places(kept, lambda line, _: ~strip(line, "left").startswith(">")))
-    return strip(joined(F.slice(kept, F.lit(1), F.coalesce(own, F.lit(0)))), "right")
+    return _bound(F.split(body, "\n"), cut)
 
 
 def strip_signature(body: Column) -> Column:
     """Cut at the first line that is a signature mark or says which device sent it."""
-    parts = F.split(body, "\n")
-    first = F.array_min(_places(parts, lambda line, _: strip(line).rlike(r"^--\s*$|^__+$") | F.lower(strip(line)).startswith("sent from my")))
-    return _cut_before(parts, first, body)
+    return _bound(F.split(body, "\n"), lambda parts: _cut_at(parts, F.array_min(_places(parts, lambda line, _: line.rlike(_SIGNATURES))), body))
 
 
 def strip_footer(body: Column) -> Column:
     """Cut at the lowest keyword line within the last third."""
-    parts = F.split(body, "\n")
-    low = F.floor(F.size(parts) * 0.66).cast("int")
-    hits = _places(parts, lambda line, i: (i > low) & any_of([F.lower(line).contains(k) for k in FOOTER_KEYWORDS]))
-    return _cut_before(parts, F.array_max(hits), body)
+
+    def cut(parts: Column) -> Column:
+        low = F.floor(F.size(parts) * 0.66).cast("int")
+        return _cut_at(parts, F.array_max(_places(parts, lambda line, i: (i > low) & line.rlike(_FOOTERS))), body)
+
+    return _bound(F.split(body, "\n"), cut)
 
 
 def clean_for_embedding(body: Column) -> Column:
     """Reply chain, signature and footer go; runs of three or more line breaks become two; trimmed."""
     out = F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n?", "\n")
-    return strip(F.regexp_replace(strip_footer(strip_signature(strip_reply_chain(out))), "\n{3,}", "\n\n"))
+    for step in (strip_reply_chain, strip_signature, strip_footer):
+        out = _bound(out, step)
+    return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
 def snippet(chunk: Column, body: Column, size: int = 200) -> Column:
