@@ -111,7 +111,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = cut(measured(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()))
     lines = rows.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.words")
-    gone = lines.join(frequent_lines(rows, max_contents), ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed"))
+    frequent = cut(frequent_lines(rows, max_contents))  # a plain side, so that the join on a very common line can be split
+    gone = lines.join(frequent, ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed"))
     out = rows.drop("lines", "host", "content").join(gone, "_row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("n_removed")) >= min_left_percent * F.col("n_words")
