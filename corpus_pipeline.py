@@ -11,8 +11,8 @@ from letterloom.llm.common import scratch, table
 from letterloom.llm.decontaminate import decontaminate
 from letterloom.llm.linededup import dedup_lines
 from letterloom.llm.mixing import DOMAINS, GRID, copies, mix
+from letterloom.llm.neardup import keep_one_similar
 from letterloom.llm.quality import fit, keep_good
-from letterloom.llm.simhash import keep_one
 
 #: A document that holds a window of one benchmark item is leaked; the operator's own query asks for two.
 LEAKED_ITEMS = 1
@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return keep_one(docs)
+    """One document stays of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
+    return keep_one_similar(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

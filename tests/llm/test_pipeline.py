@@ -1,10 +1,11 @@
 """The corpus pipeline, stage by stage, against what each stage must do to its input."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import corpus_pipeline
-from letterloom.llm import quality, simhash
+from letterloom.llm import neardup, quality, simhash
 from tests.llm.test_operators import slow_contamination, slow_fingerprint, slow_line_dedup
 
 
@@ -73,3 +74,50 @@ def test_run_equals_stages(spark, sf_dir, stages):
     assert set(out.doc_id) == set(stages[-1].doc_id) == set(stages[-2].doc_id)
     both = out.merge(stages[-1], on="doc_id")
     assert (both.rate_x - both.rate_y).abs().max() < 1e-9 and (both.n_copies_x == both.n_copies_y).all()
+
+
+def slow_similar(rows, words=5, least=0.8):
+    """The smallest id of each group of texts linked by the Jaccard similarity of their shingle sets, all pairs compared."""
+    rows = sorted(rows)
+    sets = []
+    for _, text in rows:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    near = list(range(len(rows)))
+    pairs = 0
+    for n, a in enumerate(sets):
+        for m in range(n):
+            if len(a & sets[m]) >= least * len(a | sets[m]):
+                pairs += rows[n][1] != rows[m][1]
+                near = [near[m] if x == near[n] else x for x in near] if near[m] < near[n] else [near[n] if x == near[m] else x for x in near]
+    return {rows[i][0] for i, x in enumerate(near) if x == i}, pairs
+
+
+def test_near_duplicate_stage_by_similarity(spark):
+    """Raw texts, before line dedup, and made copies with a few words changed: most differ in more bits than op1's radius."""
+    rng = np.random.default_rng(4)
+    raw = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "text"]]
+    rows = [(int(i), t) for i, t in zip(raw.doc_id, raw.text)][:700]
+    words = [f"w{i}" for i in range(3000)]
+    for n in range(40):
+        base = rng.choice(words, 60 + 10 * n)
+        rows.append((10_000 + 10 * n, " ".join(base)))
+        for k in range(1, 5):
+            copy = base.copy()
+            copy[rng.choice(len(base), max(1, len(base) * k // 100), replace=False)] = "changed"
+            rows.append((10_000 + 10 * n + k, " ".join(copy)))
+    want, pairs = slow_similar(rows)
+    assert pairs > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == want
+    far = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert far != want
+    assert {r.doc_id for r in neardup.keep_one_similar(docs, shard_rows=2).collect()} == want
+
+
+def test_near_duplicate_stage_odd(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (4, "One two"), (5, "one  two"), (None, "one two"), (None, "else"), (6, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id or 0), r.text or "") for r in neardup.keep_one_similar(docs).collect())
+    assert found == [(0, "else"), (1, ""), (4, "One two"), (6, "one two three")]
+    assert neardup.keep_one_similar(docs.limit(0)).count() == 0
