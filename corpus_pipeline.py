@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from letterloom.llm.common import scratch, table
 from letterloom.llm.decontaminate import decontaminate
 from letterloom.llm.linededup import dedup_lines
-from letterloom.llm.mixing import DOMAINS, GRID, copies, mix
+from letterloom.llm.mixing import DOMAINS, copies, mix
 from letterloom.llm.neardup import keep_one_similar
 from letterloom.llm.quality import fit, keep_good
 
@@ -45,7 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets the rate, and the whole copies, that bring the domains to their target weights."""
     mixed = mix(docs, table(spark, sf_dir, "labels"))
-    posterior = [(F.col("_shares")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    posterior = [F.col("_shares")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return mixed.select(*docs.columns, F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", F.xxhash64("text")).alias("n_copies"))
 
 

@@ -2,10 +2,9 @@
 
 A classifier fitted on a bounded sample of the labelled table gives every document a posterior over domains. A
 document's rate is how many times it should enter the mix; rates that make the expected tokens of every domain
-match its target are fitted by projected-gradient least squares over all documents. The posteriors are rounded to a
-fixed grid, and the fit depends on a document by its posterior alone, so documents of one grid cell share a rate and
-the iterations run over cells: their number is bounded by the grid, whatever the corpus. Every iteration is one
-distributed aggregate; only one row of domain sums comes to the driver.
+match its target are fitted by projected-gradient least squares over all documents and their unrounded posteriors.
+A document's rate depends on its posterior and the steps alone, so the steps are what is kept: every iteration is one
+distributed aggregate that walks them again, and only one row of domain sums comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import column, cut, sliced, table, written
+from letterloom.llm.common import column, drop, sliced, table, written
 from letterloom.llm.labelled import sample
 from letterloom.llm.toxicity import ToxicityModel, fit_texts
 
 #: Domains by the labels (quality, toxic), and the share of the mix's tokens that each should have.
 DOMAINS = {"clean": (1, 0), "abusive": (1, 1), "junk": (0, 0), "junk_abusive": (0, 1)}
 TARGETS = {"clean": 0.96, "abusive": 0.01, "junk": 0.02, "junk_abusive": 0.01}
-#: Posteriors are multiples of 1 / GRID: at most C(GRID + 3, 3) cells of four domains (6,545 at 32).
+#: What rounded() and fit_rates() take whole shares to be parts of; the mix itself fits unrounded posteriors.
 GRID = 32
 ITERATIONS, TOLERANCE = 60, 1e-6
 
@@ -105,29 +104,29 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: Mapping[str, tuple]
     return model
 
 
-def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", grid: int = GRID, keep: Sequence[str] | None = None) -> DataFrame:
-    """docs (or the columns to keep) with _shares (one whole number for each domain, of grid in all) and _tokens
-    (white-space words) added."""
+def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep) with _shares (the posterior of each domain, unrounded) and _tokens (white-space
+    words) added."""
     columns = list(docs.columns if keep is None else keep)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             p, n = model.posteriors(column(batch, text_col).to_pylist())
-            shares = pa.array(rounded(p, grid).tolist(), pa.list_(pa.int32()))
+            shares = pa.array(p.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in columns), shares, pa.array(n, pa.int64())], names=[*columns, "_shares", "_tokens"])
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(score, f"{ddl}, _shares array<int>, _tokens long")
+    return docs.mapInArrow(score, f"{ddl}, _shares array<double>, _tokens long")
 
 
 def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[tuple[float, ...]], np.ndarray, int]:
     """Projected gradient for: least sum over domains of (expected tokens - target)^2 / tokens held, every rate at least 0.
 
-    cells(_shares, tokens): tokens by posterior. In the metric that weighs a cell by its tokens the gradient of a rate
-    is posterior . (residual / held), so from rates of one each step is rate = max(0, ahead - posterior . step), where
-    ahead carries on the last change (Nesterov's acceleration); the division keeps small domains as quick to fit as
-    large ones. Returns the steps (the vector and the next momentum), the reached shares of all tokens, and the tokens.
-    The steps alone give any document its rate.
+    cells(_shares, tokens): documents, or tokens by posterior; the posterior is _shares / grid. In the metric that weighs
+    a cell by its tokens the gradient of a rate is posterior . (residual / held), so from rates of one each step is rate =
+    max(0, ahead - posterior . step), where ahead carries on the last change (Nesterov's acceleration); the division keeps
+    small domains as quick to fit as large ones. Returns the steps (the vector and the next momentum), the reached shares
+    of all tokens, and the tokens. The steps alone give any document its rate.
     """
     k = len(targets)
     total = int(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -140,10 +139,11 @@ def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iter
     held = np.maximum(gram.sum(axis=1), 1e-9)
     size = 1 / max(float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(held, held)))[-1]), 1e-12)
     target, speed = np.asarray(targets, float), 1.0
+    read = cells.select(F.col("_shares").cast("array<double>").alias("_shares"), F.col("tokens").cast("double").alias("tokens"))
+    names = [f"{which}{i}" for which in ("rate", "ahead") for i in range(k)]
     for at in range(iterations + 1):
-        state = cells.withColumn("s", _walked(F.col("_shares"), steps, grid))
-        sums = state.agg(*[F.sum(F.col("tokens") / total * F.col(f"s.{which}") * p[i]) for which in ("rate", "ahead") for i in range(k)]).first()
-        reached, ahead = np.array(sums, float).reshape(2, k)
+        sums = read.mapInArrow(_expected(steps, grid, k, total), ", ".join(f"{n} double" for n in names))
+        reached, ahead = np.array(sums.agg(*[F.sum(n) for n in names]).first(), float).reshape(2, k)
         if at == iterations or np.abs(reached - target).max() <= tolerance:
             break
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
@@ -152,27 +152,48 @@ def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iter
     return steps, reached, total
 
 
-def _walked(shares, steps: Sequence[tuple[float, ...]], grid: int):
-    """struct<rate, ahead> that the steps give to a posterior, starting from one."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not steps:
-        return start
-    literal = F.from_json(F.lit(str([list(s) for s in steps])), "array<array<double>>")
+def walked(p: np.ndarray, steps: Sequence[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rates and where the next step starts that the steps give to posteriors (one a row), starting from one."""
+    rates, aheads = np.ones(len(p)), np.ones(len(p))
+    for at in range(0, len(p), 4096):  # so many rows stay in the processor's cache
+        part = p[at : at + 4096].T.copy()
+        rate = ahead = np.ones(part.shape[1])
+        for *s, momentum in steps:
+            new = ahead.copy()
+            for x, row in zip(s, part):
+                new -= x * row
+            np.maximum(new, 0.0, out=new)
+            ahead = np.maximum(new + momentum * (new - rate), 0.0)
+            rate = new
+        rates[at : at + 4096], aheads[at : at + 4096] = rate, ahead
+    return rates, aheads
 
-    def step(state, s):
-        parts = F.zip_with(F.slice(s, 1, F.size(shares)), shares, lambda a, b: a * b / grid)
-        rate = F.greatest(F.lit(0.0), state["ahead"] - F.aggregate(parts, F.lit(0.0), lambda x, y: x + y))
-        ahead = F.greatest(F.lit(0.0), rate + F.element_at(s, -1) * (rate - state["rate"]))
-        return F.struct(rate.alias("rate"), ahead.alias("ahead"))
 
-    return F.aggregate(literal, start, step)
+def _expected(steps: Sequence[tuple[float, ...]], grid: int, k: int, total: int):
+    """Partial sums of the shares of all tokens that the steps' rates, and the next starts, give to each domain."""
 
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, k))
+        for batch in batches:
+            if batch.num_rows:
+                p = column(batch, "_shares").flatten().to_numpy().reshape(-1, k) / grid
+                weight = column(batch, "tokens").to_numpy() / total
+                sums += [(weight * r) @ p for r in walked(p, steps)]
+        names = [f"{which}{i}" for which in ("rate", "ahead") for i in range(k)]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.ravel().tolist()], names=names)
 
-def rate_of(shares, steps: Sequence[tuple[float, ...]], grid: int = GRID):
-    return _walked(shares, steps, grid)["rate"]
+    return add
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", grid: int = GRID, iterations: int = ITERATIONS, keep: Sequence[str] | None = None) -> DataFrame:
+def rate_of(shares, steps: Sequence[tuple[float, ...]], k: int, grid: int = GRID):
+    @F.arrow_udf("double")
+    def rate(part: pa.Array) -> pa.Array:
+        return pa.array(walked(part.flatten().to_numpy().reshape(-1, k) / grid, steps)[0])
+
+    return rate(shares)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, keep: Sequence[str] | None = None) -> DataFrame:
     """docs (or its columns to keep) with _tokens, _shares and _rate added; the mix has as many expected tokens as docs.
 
     Targets of domains without members can't be met and are left out, the others scaled to one. Null and empty texts
@@ -180,16 +201,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     table gives none.
     """
     model = fit_domains(docs, labels, domains, label_cols, id_col, text_col)
-    scored, _ = written(memberships(docs, model, text_col, grid, keep))  # the texts are scored once
-    light = cut(scored.groupBy("_shares").agg(F.sum("_tokens").alias("tokens")).coalesce(1))  # the grid bounds its rows
+    scored, _ = written(memberships(docs, model, text_col, keep))  # the texts are scored once
+    light, path = written(scored.select("_shares", F.col("_tokens").alias("tokens")))  # what every step reads
     k = len(domains)
     held = light.agg(*[F.sum(F.col("tokens") * F.col("_shares")[i]) for i in range(k)]).first()
     wanted = np.array([targets[d] if (held[i] or 0) > 0 else 0.0 for i, d in enumerate(domains)])
     wanted = wanted / wanted.sum() if wanted.sum() else wanted
-    steps, _, _ = fit_rates(light, wanted, grid, iterations)
-    # At most C(grid + k - 1, k - 1) cells: a proven bound for the broadcast.
-    rates = light.select(F.col("_shares").alias("_cell"), rate_of(F.col("_shares"), steps, grid).alias("_rate"))
-    return scored.join(F.broadcast(rates), scored["_shares"] == rates["_cell"]).drop("_cell")
+    steps, _, _ = fit_rates(light, wanted, 1, iterations)
+    drop(docs.sparkSession, path)
+    return scored.withColumn("_rate", rate_of(F.col("_shares"), steps, k, 1))
 
 
 def copies(rate, *keys):
@@ -201,5 +221,5 @@ def copies(rate, *keys):
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("key"))
     mixed = mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "key"])
-    posterior = [(F.col("_shares")[i] / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    posterior = [F.col("_shares")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", "key").alias("n_copies"))

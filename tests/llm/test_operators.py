@@ -490,6 +490,33 @@ def test_rates_equal_local_projected_gradient(spark):
     assert total == tokens_.sum() and np.allclose(local, reached) and np.abs(local - target).max() < 1e-5
 
 
+def test_mixing_keeps_small_posteriors(spark):
+    """Posteriors below 1/64 count: the totals are held against the classifier's own, unrounded ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = mixing.fit_domains(docs, labels)
+    found = mixing.mix(docs, labels).toPandas().sort_values("doc_id")
+    exact, n = model.posteriors(found.text.tolist())
+    kept = np.array(found._shares.tolist())
+    assert np.abs(kept - exact).max() < 1e-9 and ((exact > 0) & (exact < 1 / 64)).any()
+    got = (exact * (np.array(n) * found._rate.to_numpy())[:, None]).sum(0) / sum(n)
+    assert np.abs(got - np.array(list(mixing.TARGETS.values()))).max() < 1e-4
+
+
+def test_rates_of_small_posteriors(spark):
+    """Rare domains that every document holds a little of, each less than the grid's half step."""
+    rng = np.random.default_rng(3)
+    rare = rng.uniform(0.0005, 0.0075, (400, 2))
+    p = np.column_stack([1 - rare.sum(1), rare])
+    tokens_ = rng.integers(1, 500, 400)
+    target = np.array([0.99, 0.006, 0.004])
+    cells = spark.createDataFrame([(row.tolist(), int(t)) for row, t in zip(p, tokens_)], "_shares array<double>, tokens long")
+    assert (mixing.rounded(p)[:, 1:] == 0).all()
+    steps, reached, _ = mixing.fit_rates(cells, target, 1, iterations=250)
+    rate = mixing.walked(p, steps)[0]
+    assert np.allclose((p * (tokens_ * rate)[:, None]).sum(0) / tokens_.sum(), reached) and np.abs(reached / target - 1).max() < 0.05
+
+
 def test_mixing_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     out = mixing.mix(odd, labels)
