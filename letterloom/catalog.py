@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import headers as H
 from letterloom.functions import text as X
-from letterloom.functions.chunks import chunks
+from letterloom.functions.chunks import chunks, exploded
 from letterloom.functions.ids import email_id, hash16, thread_id
 from letterloom.operators import dedupe, filters, fulltext, hybrid, joins, metrics, rules, stats, vectors
 from letterloom.operators.validate import summary, validated
@@ -645,6 +645,13 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "chunk_text")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 
 
+@query()
+def chunk_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document; chunk_text and its SQL leave out those of more than 1,500 words."""
+    out = exploded(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
+
+
 # ---- Validation and questions -----------------------------------------------------------------------------------------
 
 

@@ -30,3 +30,26 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def slow_chunks(text, size=1200, overlap=200):
+    """Every end and every start tried, lengths taken from the joined words."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    words, out, start = text.split(), [], 0
+    while True:
+        end = start + 1
+        while end < len(words) and len(" ".join(words[start : end + 1])) <= size:
+            end += 1
+        out.append(" ".join(words[start:end]))
+        if end >= len(words):
+            return out
+        start = next((b for b in range(end - 1, start, -1) if len(" ".join(words[b:end])) + 1 >= overlap), end)
+
+
+def test_chunks_of_long_texts(spark, tmp_path):
+    texts = [" ".join(f"w{i * i % 977}" for i in range(n)) for n in (3, 400, 1500, 1501, 4000)] + ["", "x" * 3000 + " y" * 1600]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.chunk_index): r.chunk_text for r in catalog.QUERIES["chunk_text_whole"](spark, str(tmp_path)).collect()}
+    assert found == {(i, n): c for i, t in rows for n, c in enumerate(slow_chunks(t))}
