@@ -351,6 +351,25 @@ def reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reciprocal_rank(_self_hits(spark, sf_dir)).select("query", F.round("rr", 6).alias("rr"))
 
 
+_STATED_HITS = _SELF_HITS.replace("a.vec_id < 10", "a.vec_id % 20 = 0")
+
+
+def _stated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector whose id is divisible by 20, the stated query set."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return metrics.nearest_others(e, e.where("vec_id % 20 = 0"), 10)
+
+
+@query(f"WITH {_STATED_HITS} SELECT query, count(*) FILTER (relevant) / 5.0 AS precision FROM hits WHERE rank <= 5 GROUP BY 1")
+def precision_at_5_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.precision_at(_stated_hits(spark, sf_dir), 5)
+
+
+@query(f"WITH {_STATED_HITS} SELECT query, round(coalesce(1.0 / min(rank) FILTER (relevant), 0), 6) AS rr FROM hits GROUP BY 1")
+def reciprocal_rank_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.reciprocal_rank(_stated_hits(spark, sf_dir)).select("query", F.round("rr", 6).alias("rr"))
+
+
 # ---- Identifiers, threads and periods ---------------------------------------------------------------------------------
 
 

@@ -2,9 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows of one block of the search.
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+
+
+def nearest_others(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """rows, queries(vec_id, embedding, label). query, rank and relevant of the k nearest other rows of every query, all
+    compared (squared L2, ties by id) in blocks of both sides; relevant ones have the query's label."""
+
+    def blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
+        # The block's number within its input partition; each block is one row of arrays.
+        place = F.struct(F.spark_partition_id().alias("part"), F.floor((F.monotonically_increasing_id() % (1 << 33)) / size).alias("n"))
+        held = df.select(place.alias("block"), F.struct("vec_id", "embedding", "label").alias("v"))
+        held = held.groupBy("block").agg(F.collect_list("v").alias("v"))
+        return held.select(F.col("v.vec_id").alias(f"{prefix}_id"), F.flatten("v.embedding").alias(f"{prefix}_vector"), F.col("v.label").alias(f"{prefix}_label"))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                q_id, q, q_label, v_id, v, v_label = (batch.column(i)[pair].values.to_numpy(zero_copy_only=False) for i in range(6))
+                q, v = q.astype(np.float64).reshape(len(q_id), -1), v.astype(np.float64).reshape(len(v_id), -1)
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for i, one in enumerate(q):
+                    distance = np.square(v - one).sum(axis=1)
+                    other = np.nonzero(v_id != q_id[i])[0]
+                    best = other[np.lexsort((v_id[other], distance[other]))[:k]]
+                    for held, x in zip(out, (np.full(len(best), q_id[i]), v_id[best], distance[best], v_label[best] == q_label[i])):
+                        held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query", "vec_id", "distance", "relevant"])
+
+    pairs = blocks(queries, QUERY_BLOCK, "q").crossJoin(blocks(rows, ROW_BLOCK, "v"))
+    found = pairs.mapInArrow(search, "query long, vec_id long, distance double, relevant boolean")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "relevant")
+
 
 def precision_at(hits: DataFrame, k: int) -> DataFrame:
     """hits(query, rank, relevant boolean). One row for each query: the share of relevant ones among the first k."""
