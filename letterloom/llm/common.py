@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a
+    cluster an error, as a temporary folder would be another one on each machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="letterloom-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -80,13 +83,26 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def row_keys(id_col: str, text_col: str) -> list[Column]:
+def row_keys(id_col: str, text_col: str, names: Sequence[str] = ("_key_a", "_key_b")) -> list[Column]:
     """Two 64-bit hashes of (id, text). Rows equal in both are one document to the operators."""
     text, ident = F.col(text_col), F.col(id_col)
-    return [
-        F.xxhash64(ident, text).alias("_key_a"),
-        F.xxhash64(text, F.lit("|"), ident).alias("_key_b"),
-    ]
+    return [F.xxhash64(ident, text).alias(names[0]), F.xxhash64(text, F.lit("|"), ident).alias(names[1])]
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that a column (or one before) has already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ddl_of(df: DataFrame, columns: Iterable[str]) -> str:
+    """The columns' DDL, for functions over batches that hand them on."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

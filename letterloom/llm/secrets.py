@@ -1,18 +1,19 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
-One pass over the text finds every base match and its place: splitting a text at a pattern gives the lengths
-between matches, and their running sum the starts. The values of all matches are then hashed and counted by
-distinct repositories and owners over the corpus, in stages with partial sums, so a value that a third of all
-rows carry is combined before each shuffle. A value of few owners is live-looking and gains a span of its own
-kind; a value that many owners carry is a copied example and gains none.
+One pass over the text finds every base match: splitting a text at a pattern gives the lengths between matches. Their
+running sum over the exploded matches of a text, a window, gives the places in time linear in the matches. The values are
+hashed and counted by distinct repositories and owners over the corpus, in stages with partial sums, so a value that a
+third of all rows carry is combined before each shuffle; matches and counts are both written before they are joined, so
+that adaptive execution can split such a value's matches. A value of few owners is live-looking and gains a span of its
+own kind; a value that many owners carry is a copied example and gains none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import cut, table
+from letterloom.llm.common import table, written
 
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: A run of hex digits or an access key is matched whole, so asking for its length in the pattern finds the same places.
@@ -25,39 +26,39 @@ MAX_REPOSITORIES = 8
 KINDS = ("assign", "access", "hex", "live")
 
 
-def _places(text: Column, pattern: str, kind: int, value_group: int) -> Column:
-    """array<struct<kind, start, end, value>> of a pattern's leftmost non-overlapping matches, in code points."""
+_PARTS = "array<struct<kind:int,gap:int,n:int,value:string>>"
+
+
+def _parts(text: Column, pattern: str, kind: int, value_group: int) -> Column:
+    """Of a pattern's leftmost non-overlapping matches, in order: the code points since the match before, those of the
+    match itself, and its value."""
     gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    parts = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda m: F.length(m)).alias("n"), value.alias("value"))
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    zipped = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda m: F.length(m)).alias("n"), value.alias("value"))
+    matched = F.filter(zipped, lambda p: p["n"].isNotNull())  # the gap after the last match has none
+    parts = F.transform(matched, lambda p: F.struct(F.lit(kind).alias("kind"), p["gap"].alias("gap"), p["n"].alias("n"), p["value"].alias("value")))
+    return F.when(text.rlike(pattern), parts).otherwise(F.array().cast(_PARTS))
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        end = start + F.coalesce(part["n"], F.lit(0))
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(part["n"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    found = F.aggregate(parts, seed, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, owner, repository, parts (the matches of each kind in order)."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+    return read.select("doc_id", "owner", "repository", F.concat(_parts(text, ASSIGN, 0, 2), _parts(text, ACCESS, 1, 0), _parts(text, HEX, 2, 0)).alias("parts"))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, owner, repository, found (all base matches by start, then kind)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    assign = F.filter(_places(text, ASSIGN, 0, 2), lambda m: F.length(m["value"]) >= MIN_ASSIGNED)
-    found = F.concat(assign, _places(text, ACCESS, 1, 0), _places(text, HEX, 2, 0))
-    by_start = F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["value"].alias("value"))))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.col(text_col).alias("text"))
-    return read.select("doc_id", "owner", "repository", by_start.alias("found"))
+def placed(found: DataFrame) -> DataFrame:
+    """One row per base match of candidates() with _row: _row, owner, repository, start, kind, end, value, value_key."""
+    each = found.select("_row", "owner", "repository", F.posexplode("parts").alias("at", "p")).select("_row", "owner", "repository", "at", "p.*")
+    so_far = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    each = each.withColumn("end", so_far).where((F.col("kind") > 0) | (F.length("value") >= MIN_ASSIGNED))
+    return each.select("_row", "owner", "repository", (F.col("end") - F.col("n")).alias("start"), "kind", "end", "value", F.xxhash64("value").alias("value_key"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def ownership(matches: DataFrame) -> DataFrame:
     """(value_key, owners, repositories, times) over all candidate values of the corpus."""
-    one = found.select("owner", "repository", F.explode("found").alias("m"))
-    one = one.select(F.xxhash64("m.value").alias("value_key"), F.coalesce("owner", F.lit("")).alias("owner"), F.xxhash64("owner", F.lit("/"), "repository").alias("repository"))
+    one = matches.select("value_key", F.coalesce("owner", F.lit("")).alias("owner"), F.xxhash64("owner", F.lit("/"), "repository").alias("repository"))
     by_repository = one.groupBy("value_key", "owner", "repository").agg(F.count(F.lit(1)).alias("times"))
     by_owner = by_repository.groupBy("value_key", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("times").alias("times"))
     return by_owner.groupBy("value_key").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("times").alias("times"))
@@ -77,16 +78,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows, and other columns are ignored.
     """
     found = candidates(docs, id_col, text_col, owner_col, repository_col).withColumn("_row", F.monotonically_increasing_id())
-    found = cut(found)  # the row numbers are fixed from here on, and the text isn't read again
-    matches = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("m")).select("_row", "m", F.xxhash64("m.value").alias("value_key"))
-    judged = matches.join(ownership(found), "value_key")
-    of_row = judged.groupBy("_row").agg(F.collect_list(F.struct("m.start", "m.kind", "m.end", "m.value", "owners", "repositories")).alias("base"))
+    found, _ = written(found)  # the row numbers are fixed from here on, and the text isn't read again
+    matches, _ = written(placed(found.where(F.size("parts") > 0)))
+    owned, _ = written(ownership(matches))
+    judged = matches.join(owned, "value_key")
+    of_row = judged.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories")).alias("base"))
 
     def extra(base: Column) -> Column:
         live = F.filter(base, lambda s: (s["owners"] <= max_owners) & (s["repositories"] <= max_repositories))
         return F.transform(live, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["owners"].alias("owners"), s["repositories"].alias("repositories")))
 
-    of_row = of_row.select("_row", F.array_sort(F.concat("base", F.array_distinct(extra(F.col("base"))))).alias("spans"))
+    of_row = of_row.select("_row", F.array_sort(F.concat("base", extra(F.col("base")))).alias("spans"))
     empty = F.array().cast(dict(of_row.dtypes)["spans"])
     return found.select("_row", "doc_id").join(of_row, "_row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
