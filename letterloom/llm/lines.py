@@ -1,15 +1,15 @@
 """Quality rules by cross-document line frequency.
 
 One Arrow pass over the text gives each document's base counts and its normalised line hashes with their words.
-The hashes go to the corpus count: distinct contents per host and line, with partial sums before each shuffle, so
-the copies of one document count once and a line that a third of all rows carry is combined early. Lines of more
-contents than the limit are taken out, and a document with too little left is rejected.
+The hashes go to the corpus count: documents per host and line (a document names a line once, however often it has it),
+with partial sums before the shuffle, so a line that a third of all rows carry is combined early. Lines of more documents
+than the limit are taken out, and a document with too little left is rejected.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +17,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, sliced, table
+from letterloom.llm.common import build, column, sliced, table, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: A line that more distinct contents of one host carry is boilerplate.
-MAX_CONTENTS = 20
+#: A line that more documents of one host carry is boilerplate.
+MAX_DOCUMENTS = 20
 #: A document must keep at least so many percent of its words when boilerplate lines are gone.
 MIN_LEFT_PERCENT = 50
 
-SYMBOLS = "#*$%&|<>"
-_SYMBOLS = re.compile("[#*$%&|<>]")
-_SPACE = " \t\n\v\f\r"
-_DROP = str.maketrans("", "", _SPACE)
+SYMBOLS = b"#*$%&|<>"
+#: What bytes.split() splits at.
+_SPACE = b" \t\n\v\f\r"
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: Sequence) -> int:
     """Words that stand in a 3-word window found twice or more."""
     n = len(words)
     if n < 4:
         return 0
-    number: dict[str, int] = {}
+    number: dict = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
     if len(number) == n:
         return 0
@@ -59,12 +58,13 @@ def normal_line(line: str) -> str:
 
 def measure(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, distinct line hashes, words under each."""
-    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    raw = text.encode("utf-8", "replace")
+    words = raw.split()
     seen: set[str] = set()
     repeats = 0
     of_line: dict[int, int] = {}
-    for line in text.split("\n"):
-        n = len([w for w in re.split("[\x20\x09-\x0d]+", line) if w]) if line else 0
+    for line, as_bytes in zip(text.split("\n"), raw.split(b"\n")):
+        n = len(as_bytes.split())
         if not n:
             continue
         if line in seen:
@@ -72,17 +72,19 @@ def measure(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
         seen.add(line)
         key = xxhash.xxh64_intdigest(normal_line(line).encode("utf-8", "replace")) - (1 << 63)
         of_line[key] = of_line.get(key, 0) + n
-    return len(words), len(text.translate(_DROP)), len(_SYMBOLS.findall(text)), repeats, repeated_words(words), list(of_line), list(of_line.values())
+    spaces = len(raw) - len(raw.translate(None, _SPACE))
+    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
+    return len(words), len(text) - spaces, symbols, repeats, repeated_words(words), list(of_line), list(of_line.values())
 
 
-_MEASURED = "doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>"
+_MEASURED = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: base counts, and the distinct normalised lines with their words."""
     pair = pa.struct([("line", pa.int64()), ("words", pa.int32())])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("content", pa.int64()), *((n, pa.int64()) for n in names), ("lines", pa.list_(pair))])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((n, pa.int64()) for n in names), ("lines", pa.list_(pair))])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -90,30 +92,30 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             offsets = np.cumsum([0, *(len(r[5]) for r in rows)])
             inner = pa.StructArray.from_arrays([pa.array([x for r in rows for x in r[5]], pa.int64()), pa.array([x for r in rows for x in r[6]], pa.int32())], fields=list(pair))
             lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
-            yield build(schema, [column(batch, "doc_id"), column(batch, "host"), column(batch, "content"), *([r[k] for r in rows] for k in range(5)), lines])
+            yield build(schema, [column(batch, "doc_id"), column(batch, "host"), *([r[k] for r in rows] for k in range(5)), lines])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     return read.mapInArrow(score, _MEASURED)
 
 
-def frequent_lines(rows: DataFrame, max_contents: int = MAX_CONTENTS) -> DataFrame:
-    """(host, line) of the lines that more than max_contents distinct contents of the host carry."""
-    each = rows.select("host", "content", F.explode("lines.line").alias("line")).distinct()
-    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > max_contents).select("host", "line")
+def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(host, line) of the lines that more than max_documents documents of the host carry."""
+    each = rows.select("host", F.explode("lines.line").alias("line"))  # the lines of a row are distinct
+    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_contents: int = MAX_CONTENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """One row per input row: doc_id, the base counts, base_failed, n_removed (words in boilerplate lines), kept.
 
-    Null and empty texts have no words and so fail the base rules. A null host is a host of its own. Repeated rows and
-    exact copies count as one content of their host and each get their row; null ids keep their rows; an empty table
+    Null and empty texts have no words and so fail the base rules. A null host is a host of its own. Every row is a
+    document: exact copies and repeated rows each count and each get their row; null ids keep their rows; an empty table
     gives none; other columns are ignored.
     """
-    rows = cut(measured(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()))
+    rows, _ = written(measured(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id()))
     lines = rows.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.words")
-    frequent = cut(frequent_lines(rows, max_contents))  # a plain side, so that the join on a very common line can be split
+    frequent, _ = written(frequent_lines(rows, max_documents))  # a plain side, so that the join on a very common line can be split
     gone = lines.join(frequent, ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed"))
-    out = rows.drop("lines", "host", "content").join(gone, "_row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    out = rows.drop("lines", "host").join(gone, "_row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("n_removed")) >= min_left_percent * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed")
@@ -141,7 +143,7 @@ WITH docs AS (
 ), dup AS (
   SELECT rid, sum(c - 1) AS n_dup_lines FROM (SELECT rid, l, count(*) AS c FROM lines GROUP BY rid, l) GROUP BY rid
 ), frequent AS (
-  SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT t) > 20
+  SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT rid) > 20
 ), gone AS (
   SELECT rid, sum(n) AS n_removed FROM lines JOIN frequent USING (host, norm) GROUP BY rid
 ), base AS (
