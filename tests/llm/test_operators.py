@@ -368,14 +368,36 @@ def test_license_places_and_blocks(spark):
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     for r, text in zip(rows, texts):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == slow_phrases(text), text
-        want = set()
-        for line in (text or "").split("\n"):
-            have = set(WORD.findall(line.translate(LOW)))
-            want |= {t.label for t in licenses.templates_of(licenses.NOTICES) if len(have & set(t.tokens)) >= t.need(licenses.THRESHOLD)}
-        assert {f["label"] for f in r["found"]} == want, text
+        assert {f["label"] for f in r["found"]} == slow_notices(text), text
     assert rows[8]["found"] and not rows[11]["found"] and rows[10]["score"] == 1.0
 
 
+def slow_notices(text, threshold=licenses.THRESHOLD):
+    """Every block of a notice's number of words, at every place."""
+    words, out = WORD.findall((text or "").translate(LOW)), set()
+    for t in licenses.templates_of(licenses.NOTICES):
+        for i in range(max(1, len(words) - t.words + 1)):
+            if len(set(words[i : i + t.words]) & set(t.tokens)) >= t.need(threshold):
+                out.add(t.label)
+                break
+    return out
+
+
+def test_notices_over_lines(spark, documents):
+    """Notices wrapped at some columns behind comment marks, with words changed, lost and put in, between other words."""
+    rng = np.random.default_rng(12)
+    texts = ["all " * 40 + "other words " * 30 + "rights " * 40 + "reserved", *documents.text[:30]]
+    for notice, _ in licenses.NOTICES:
+        for share in (0.0, 0.1, 0.3):
+            words = [w if rng.random() >= share else str(rng.choice(["", "changed", w + " added"])) for w in notice.split()]
+            lines = "\n// ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+            texts.append(f"{documents.text[int(rng.integers(0, 100))]}\n/* {lines} */\nThe end of the file and of the words")
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: {f["label"] for f in r["found"]} for r in rows}
+    want = {i: slow_notices(t) for i, t in enumerate(texts)}
+    assert found == want and not found[0] and len({x for v in want.values() for x in v}) == len({label for _, label in licenses.NOTICES})
+
+
 def slow_secrets(text):
     text = text or ""
     out = []
