@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import cut
+from letterloom.llm.common import drop, written
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -17,20 +17,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b): any two comparable columns, self-loops and repeats allowed, nulls ignored.
 
     Returns (node, root) with one row for each node that has an edge to another; root is the smallest node of
-    its component. Only two-row digests come to the driver. Minima are combined before each shuffle; the joins
-    that carry a hub's edges have a unique other side, so adaptive execution can split them.
+    its component. Only two-row digests come to the driver. Minima are combined before each shuffle and written before
+    they are joined to the edges, which are written too: both sides of a join are plain exchanges, so adaptive execution
+    can split a hub's edges.
     """
-    pairs = edges.where("a <> b")
-    now = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, pairs = edges.sparkSession, edges.where("a <> b")
+    now, path = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _digest(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low, low_path = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large, large_path = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least, least_path = written(large.groupBy("a").agg(F.min("b").alias("m")))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _digest(now)
+        now, new_path = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        drop(spark, path, low_path, large_path, least_path)
+        path, before, state = new_path, state, _digest(now)
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,7 +6,9 @@ radius + 1 bit ranges: two fingerprints within the radius agree on at least one
 Inside a bucket, tiles sorted by population count are compared with exclusive-or and bit counts, and tile pairs
 whose population counts differ by more than the radius are skipped. A bucket of more than TILE_ROWS rows is cut
 into shards whose pairs become cells of their own, so no task holds an unbounded bucket. A cell returns a
-spanning star per cluster, never all pairs.
+spanning star per cluster, never all pairs. Components are found over each fingerprint's smallest document, so that a
+component's root is the answer itself and nothing is joined by group. Where a radius that buckets can serve is too narrow,
+as for word shingles of a given similarity, neardup.py puts the same tiles to use.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, row_keys, sliced, table
+from letterloom.llm.common import build, column, row_keys, sliced, table, unused, written
 from letterloom.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -46,6 +48,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = (ends - lengths).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle_words - 1 :].tolist())], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -53,6 +60,24 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def close_pairs(values: np.ndarray, radius: int, side: int = TILE_SIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the uint64 values that lie within radius bits of one another, tile against tile in order of population
+    count; tile pairs whose counts differ by more are skipped."""
+    counts = np.bitwise_count(values).astype(np.int16)
+    order = np.argsort(counts, kind="stable")
+    tiles = [order[i : i + side] for i in range(0, len(order), side)]
+    for i, a in enumerate(tiles):
+        x, high = values[a][:, None], counts[a[-1]]
+        for b in tiles[i:]:
+            if counts[b[0]] - high > radius:  # all later tiles differ more
+                break
+            rows, cols = np.nonzero(np.bitwise_count(x ^ values[b][None, :]) <= radius)
+            if b is a:
+                rows, cols = rows[rows < cols], cols[rows < cols]
+            if len(rows):
+                yield a[rows], b[cols]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, _key_a, _key_b, fp): one row per input row; fp is the fingerprint as a signed long."""
 
@@ -84,20 +109,9 @@ def _union(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
 def tile_links(values: np.ndarray, radius: int = RADIUS, side: int = TILE_SIDE) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (value, root) of the distinct uint64 values that lie within radius bits of one another."""
     values = np.sort(values)
-    counts = np.bitwise_count(values).astype(np.int16)
-    order = np.argsort(counts, kind="stable")
-    tiles = [order[i : i + side] for i in range(0, len(order), side)]
     parent = np.arange(len(values))
-    for i, a in enumerate(tiles):
-        x, high = values[a][:, None], counts[a[-1]]
-        for b in tiles[i:]:
-            if counts[b[0]] - high > radius:  # tiles are in order of population count, so all later ones differ more
-                break
-            rows, cols = np.nonzero(np.bitwise_count(x ^ values[b][None, :]) <= radius)
-            if b is a:
-                rows, cols = rows[rows < cols], cols[rows < cols]
-            if len(rows):
-                _union(parent, a[rows], b[cols])
+    for left, right in close_pairs(values, radius, side):
+        _union(parent, left, right)
     linked = np.nonzero(parent != np.arange(len(values)))[0]
     return values[linked], values[parent[linked]]
 
@@ -153,24 +167,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and wordless texts have fingerprint 0 and link like any other. Null ids come last in a component, so
     component_id is null only if every member's id is. Repeated rows each get their row. An empty table gives none.
     """
-    docs_fp = cut(fingerprints(docs, id_col, text_col, shingle_words))
+    docs_fp, _ = written(fingerprints(docs, id_col, text_col, shingle_words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key_a", "_key_b")).alias("first")
-    distinct = cut(docs_fp.groupBy("fp").agg(first))
-    stars = connected_components(near_links(distinct.select("fp"), radius))
-    members = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    heads = members.groupBy("root").agg(F.min("first").alias("head"))
-    classes = members.select("fp", "root").join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head._key_a").alias("rep_a"), F.col("head._key_b").alias("rep_b"))
+    distinct, _ = written(docs_fp.groupBy("fp").agg(first))
+    links, _ = written(near_links(distinct.select("fp"), radius))
+    ends = [distinct.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}")) for side in ("a", "b")]
+    nodes = links.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    stars = connected_components(nodes)
+    members = distinct.join(stars, distinct["first"] == stars["node"], "left").select("fp", F.coalesce("root", "first").alias("head"))
+    # Written, so that both sides of the join are plain exchanges and a fingerprint of very many documents can be split.
+    classes, _ = written(members.select("fp", F.col("head.doc_id").alias("component_id"), F.col("head._key_a").alias("rep_a"), F.col("head._key_b").alias("rep_b")))
     return docs_fp.join(classes, "fp")
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs' rows whose keys are in kept(_key_a, _key_b, times); of rows that are there several times one."""
+    a, b, times = unused(docs.columns, "key_a", "key_b", "times")
+    keep, _ = written(kept.select(F.col("_key_a").alias(a), F.col("_key_b").alias(b), F.col("times").alias(times)))
+    keyed = docs.select("*", *row_keys(id_col, text_col, (a, b))).join(keep, [a, b])
+    again = keyed.where(F.col(times) > 1).dropDuplicates([a, b])
+    return keyed.where(F.col(times) == 1).unionByName(again).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each near-duplicate group, the one with the smallest id; of fully repeated rows one stays."""
+    """docs with one row of each near-duplicate group, the one with the smallest id; of fully repeated rows one stays.
+
+    Nulls, empty tables and wordless texts as in near_duplicates(); columns of any name stay as they are.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle_words, radius)
-    kept = found.where("_key_a = rep_a and _key_b = rep_b").groupBy("_key_a", "_key_b").agg(F.count(F.lit(1)).alias("_times"))
-    keyed = docs.select("*", *row_keys(id_col, text_col)).join(kept, ["_key_a", "_key_b"])
-    once = keyed.where("_times = 1")
-    again = keyed.where("_times > 1").dropDuplicates(["_key_a", "_key_b"])
-    return once.unionByName(again).select(*docs.columns)
+    kept = found.where("_key_a = rep_a and _key_b = rep_b").groupBy("_key_a", "_key_b").agg(F.count(F.lit(1)).alias("times"))
+    return one_of_each(docs, kept, id_col, text_col)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,15 +79,16 @@ def test_run_equals_stages(spark, sf_dir, stages):
 def slow_similar(rows, words=5, least=0.8):
     """The smallest id of each group of texts linked by the Jaccard similarity of their shingle sets, all pairs compared."""
     rows = sorted(rows)
-    sets = []
+    sets, number = [], {}
     for _, text in rows:
         w = text.lower().split()
-        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+        sets.append({number.setdefault(tuple(w[i : i + words]), len(number)) for i in range(max(1, len(w) - words + 1))} if w else set())
     near = list(range(len(rows)))
     pairs = 0
     for n, a in enumerate(sets):
         for m in range(n):
-            if len(a & sets[m]) >= least * len(a | sets[m]):
+            both = len(a & sets[m])
+            if both >= least * (len(a) + len(sets[m]) - both):
                 pairs += rows[n][1] != rows[m][1]
                 near = [near[m] if x == near[n] else x for x in near] if near[m] < near[n] else [near[n] if x == near[m] else x for x in near]
     return {rows[i][0] for i, x in enumerate(near) if x == i}, pairs
