@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import column, drop, sliced, table, written
+from letterloom.llm.common import column, ddl_of, drop, sliced, table, written
 from letterloom.llm.labelled import sample
 from letterloom.llm.toxicity import ToxicityModel, fit_texts
 
 #: Domains by the labels (quality, toxic), and the share of the mix's tokens that each should have.
 DOMAINS = {"clean": (1, 0), "abusive": (1, 1), "junk": (0, 0), "junk_abusive": (0, 1)}
 TARGETS = {"clean": 0.96, "abusive": 0.01, "junk": 0.02, "junk_abusive": 0.01}
-#: What rounded() and fit_rates() take whole shares to be parts of; the mix itself fits unrounded posteriors.
-GRID = 32
 ITERATIONS, TOLERANCE = 60, 1e-6
 
 SHAPE = 7
@@ -67,23 +65,13 @@ class DomainModel:
         return p / p.sum(axis=1, keepdims=True), n
 
 
-def rounded(p: np.ndarray, grid: int = GRID) -> np.ndarray:
-    """Each row as whole shares of grid that sum to grid, by largest remainders (ties: the first domain)."""
-    scaled = p * grid
-    whole = np.floor(scaled).astype(np.int64)
-    short = grid - whole.sum(axis=1)
-    order = np.argsort(-(scaled - whole), axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    return whole + (rank < short[:, None])
-
-
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", steps: int = 600) -> DomainModel:
-    """A domain model fitted on at most 1,500 labelled texts of each combination of labels (see labelled.sample)."""
-    rows, _ = sample(docs, labels, list(label_cols), F.lit(True), id_col, text_col)
-    place = {tuple(v): i for i, v in enumerate(domains.values())}
-    rows = [(t, place[y], w, y) for t, y, w in rows if y in place]
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), abuse_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", steps: int = 600) -> DomainModel:
+    """A domain model fitted on at most 1,500 labelled texts of each domain (see labelled.sample). One input is the logit of an
+    abuse model fitted to abuse_col, one of the label columns."""
+    place, abuse = {tuple(v): i for i, v in enumerate(domains.values())}, list(label_cols).index(abuse_col)
+    rows = [(t, place[y], w, y) for t, y, w in sample(docs, labels, list(label_cols), list(place), F.lit(True), id_col, text_col)]
     texts, weight = [r[0] for r in rows], np.array([r[2] for r in rows])
-    model = DomainModel(list(domains), np.zeros((SHAPE + 2, len(domains))), fit_texts(texts, [int(r[3][-1]) for r in rows], weight))
+    model = DomainModel(list(domains), np.zeros((SHAPE + 2, len(domains))), fit_texts(texts, [int(r[3][abuse]) for r in rows], weight))
     if not rows:
         return model
     x, y = model.inputs(texts)[0], np.array([r[1] for r in rows])
@@ -104,26 +92,25 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: Mapping[str, tuple]
     return model
 
 
-def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """docs (or the columns to keep) with _shares (the posterior of each domain, unrounded) and _tokens (white-space
-    words) added."""
+def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: Sequence[str] | None = None, names: Sequence[str] = ("_shares", "_tokens")) -> DataFrame:
+    """docs (or the columns to keep) with, under the names, the posterior of each domain, unrounded, and the white-space
+    words added."""
     columns = list(docs.columns if keep is None else keep)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             p, n = model.posteriors(column(batch, text_col).to_pylist())
             shares = pa.array(p.tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in columns), shares, pa.array(n, pa.int64())], names=[*columns, "_shares", "_tokens"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in columns), shares, pa.array(n, pa.int64())], names=[*columns, *names])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(score, f"{ddl}, _shares array<double>, _tokens long")
+    return docs.mapInArrow(score, f"{ddl_of(docs, columns)}, `{names[0]}` array<double>, `{names[1]}` long")
 
 
-def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[tuple[float, ...]], np.ndarray, int]:
+def fit_rates(cells: DataFrame, targets: Sequence[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[tuple[float, ...]], np.ndarray, int]:
     """Projected gradient for: least sum over domains of (expected tokens - target)^2 / tokens held, every rate at least 0.
 
-    cells(_shares, tokens): documents, or tokens by posterior; the posterior is _shares / grid. In the metric that weighs
-    a cell by its tokens the gradient of a rate is posterior . (residual / held), so from rates of one each step is rate =
+    cells(shares, tokens): documents with their posteriors. In the metric that weighs
+    a document by its tokens the gradient of a rate is posterior . (residual / held), so from rates of one each step is rate =
     max(0, ahead - posterior . step), where ahead carries on the last change (Nesterov's acceleration); the division keeps
     small domains as quick to fit as large ones. Returns the steps (the vector and the next momentum), the reached shares
     of all tokens, and the tokens. The steps alone give any document its rate.
@@ -133,16 +120,16 @@ def fit_rates(cells: DataFrame, targets: Sequence[float], grid: int = GRID, iter
     steps: list[tuple[float, ...]] = []
     if not total:
         return steps, np.zeros(k), 0
-    p = [F.col("_shares")[i] / grid for i in range(k)]
+    p = [F.col("shares")[i] for i in range(k)]
     gram = cells.agg(*[F.sum(F.col("tokens") / total * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     gram = np.array(gram).reshape(k, k)
     held = np.maximum(gram.sum(axis=1), 1e-9)
     size = 1 / max(float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(held, held)))[-1]), 1e-12)
     target, speed = np.asarray(targets, float), 1.0
-    read = cells.select(F.col("_shares").cast("array<double>").alias("_shares"), F.col("tokens").cast("double").alias("tokens"))
+    read = cells.select("shares", F.col("tokens").cast("double").alias("tokens"))
     names = [f"{which}{i}" for which in ("rate", "ahead") for i in range(k)]
     for at in range(iterations + 1):
-        sums = read.mapInArrow(_expected(steps, grid, k, total), ", ".join(f"{n} double" for n in names))
+        sums = read.mapInArrow(_expected(steps, k, total), ", ".join(f"{n} double" for n in names))
         reached, ahead = np.array(sums.agg(*[F.sum(n) for n in names]).first(), float).reshape(2, k)
         if at == iterations or np.abs(reached - target).max() <= tolerance:
             break
@@ -169,14 +156,14 @@ def walked(p: np.ndarray, steps: Sequence[tuple[float, ...]]) -> tuple[np.ndarra
     return rates, aheads
 
 
-def _expected(steps: Sequence[tuple[float, ...]], grid: int, k: int, total: int):
+def _expected(steps: Sequence[tuple[float, ...]], k: int, total: int):
     """Partial sums of the shares of all tokens that the steps' rates, and the next starts, give to each domain."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, k))
         for batch in batches:
             if batch.num_rows:
-                p = column(batch, "_shares").flatten().to_numpy().reshape(-1, k) / grid
+                p = column(batch, "shares").flatten().to_numpy().reshape(-1, k)
                 weight = column(batch, "tokens").to_numpy() / total
                 sums += [(weight * r) @ p for r in walked(p, steps)]
         names = [f"{which}{i}" for which in ("rate", "ahead") for i in range(k)]
@@ -185,31 +172,32 @@ def _expected(steps: Sequence[tuple[float, ...]], grid: int, k: int, total: int)
     return add
 
 
-def rate_of(shares, steps: Sequence[tuple[float, ...]], k: int, grid: int = GRID):
+def rate_of(shares, steps: Sequence[tuple[float, ...]], k: int):
     @F.arrow_udf("double")
     def rate(part: pa.Array) -> pa.Array:
-        return pa.array(walked(part.flatten().to_numpy().reshape(-1, k) / grid, steps)[0])
+        return pa.array(walked(part.flatten().to_numpy().reshape(-1, k), steps)[0])
 
     return rate(shares)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, keep: Sequence[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domains: Mapping[str, tuple] = DOMAINS, label_cols: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, keep: Sequence[str] | None = None, abuse_col: str = "toxic") -> DataFrame:
     """docs (or its columns to keep) with _tokens, _shares and _rate added; the mix has as many expected tokens as docs.
 
     Targets of domains without members can't be met and are left out, the others scaled to one. Null and empty texts
     have no tokens and the posterior of an empty text. Repeated rows share a rate; null ids keep their rows; an empty
-    table gives none.
+    table gives none. Columns of docs that have the added ones' names give way to them.
     """
-    model = fit_domains(docs, labels, domains, label_cols, id_col, text_col)
-    scored, _ = written(memberships(docs, model, text_col, keep))  # the texts are scored once
-    light, path = written(scored.select("_shares", F.col("_tokens").alias("tokens")))  # what every step reads
+    model = fit_domains(docs, labels, domains, label_cols, abuse_col, id_col, text_col)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("_shares", "_tokens", "_rate")]
+    scored, _ = written(memberships(docs, model, text_col, kept))  # the texts are scored once
+    light, path = written(scored.select(F.col("_shares").alias("shares"), F.col("_tokens").alias("tokens")))  # what every step reads
     k = len(domains)
-    held = light.agg(*[F.sum(F.col("tokens") * F.col("_shares")[i]) for i in range(k)]).first()
+    held = light.agg(*[F.sum(F.col("tokens") * F.col("shares")[i]) for i in range(k)]).first()
     wanted = np.array([targets[d] if (held[i] or 0) > 0 else 0.0 for i, d in enumerate(domains)])
     wanted = wanted / wanted.sum() if wanted.sum() else wanted
-    steps, _, _ = fit_rates(light, wanted, 1, iterations)
+    steps, _, _ = fit_rates(light, wanted, iterations)
     drop(docs.sparkSession, path)
-    return scored.withColumn("_rate", rate_of(F.col("_shares"), steps, k, 1))
+    return scored.withColumn("_rate", rate_of(F.col("_shares"), steps, k))
 
 
 def copies(rate, *keys):

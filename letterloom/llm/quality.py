@@ -174,7 +174,7 @@ class ByteNet:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train=None, id_col: str = "doc_id", text_col: str = "text") -> ByteNet:
     """A network fitted on at most 1,500 labelled texts of each class (see labelled.sample); the prior where labels lack a class."""
     train = train if train is not None else F.coalesce(fold("i", FOLDS) != HELD_OUT, F.lit(False))
-    rows, _ = sample(docs, labels, [label_col], train, id_col, text_col)
+    rows = sample(docs, labels, [label_col], [(0,), (1,)], train, id_col, text_col)
     return ByteNet().fit([t.encode("utf-8", "replace") for t, _, _ in rows], [int(y[0]) for _, y, _ in rows], [w for _, _, w in rows])
 
 
@@ -206,7 +206,11 @@ def quality_scores(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, net: ByteNet, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores below threshold; all columns stay as they are."""
+    """docs without the rows whose text scores below threshold; all columns, whatever their names, stay as they are.
+
+    Null and empty texts are judged as an empty document. Equal texts, and so repeated rows, stay or go together; null
+    ids make no difference; an empty table gives none.
+    """
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
