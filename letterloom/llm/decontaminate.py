@@ -6,26 +6,31 @@ prefix of the rarity-ordered set is one shingle: the one that is rarest over all
 document shingles with those prefix shingles only; a window that would begin before or end after its document is
 dropped by length and position, and the rest are verified word by word over the whole window.
 
-The window index goes to the executors in slices of at most SLICE_WINDOWS windows, a proven bound; a larger
-benchmark takes more slices, each one pass over the documents, and loses nothing.
+The window index goes to the executors in slices of at most SLICE_WINDOWS words, a proven bound: a long item is cut into
+parts that overlap by a window less a word, which have all its windows. A larger benchmark takes more slices, each one pass
+over the documents whose result is written before the next slice is laid out, and loses nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, cut, row_keys, sliced, table
+from letterloom.llm.common import build, column, row_keys, sliced, table, unused, written
 
 WINDOW_WORDS = 8
 SHINGLE_WORDS = 3
 MIN_ITEMS = 2
-#: Windows of one broadcast slice: below 64 MB with their words.
+#: Words, and so windows at most, of one broadcast slice: below 64 MB.
 SLICE_WINDOWS = 200_000
+#: Candidate windows verified at a time.
+BLOCK = 1 << 20
 
 #: Word bytes lower-cased, any other byte to a space.
 _WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256))
@@ -53,8 +58,7 @@ class WindowIndex:
         self.owners = [np.array(sorted(place[i] for i in s), np.int32) for s in seen.values()]
         self.shingle = shingle
         self.base = len(self.vocab) + 1
-        if self.base ** shingle >= 1 << 62:
-            raise ValueError("the slice has too many words")
+        assert self.base**shingle < 1 << 62, "shingles as numbers: a slice's words are bounded"
         self.codes = np.unique(np.array([c for w in self.windows for c, _ in self._shingles(w)], np.int64))
         self.prefix = np.zeros(0, np.int64)
 
@@ -118,35 +122,43 @@ class WindowIndex:
         return np.bincount(found, minlength=len(self.codes))
 
     def matches(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first word, window) of every occurrence of a window."""
+        """(document, first word, window) of every occurrence of a window. The windows of each prefix that occurs are
+        laid out block by block, so a shingle of very many windows in very many places takes no more memory."""
         flat, starts = self.numbers(docs)
         at, found = self.probes(flat, self.prefix)
         n = self.n[found]
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = self.by[np.repeat(self.first[found], n) + rank]
-        begin = np.repeat(at, n) - self.place[window]
-        doc = np.searchsorted(starts, np.repeat(at, n), "right") - 1
-        fits = (begin >= starts[doc]) & (begin + self.size[window] < starts[doc + 1])  # length and positional bounds
-        begin, window, doc = begin[fits], window[fits], doc[fits]
-        ok = np.ones(len(begin), bool)
-        for j in range(self.words.shape[1]):
-            want = self.words[window, j]
-            ok &= (want == 0) | (flat[begin + j] == want)
-        return doc[ok], begin[ok] - starts[doc[ok]], window[ok]
+        ends = np.cumsum(n)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for lo in range(0, int(n.sum()), BLOCK):
+            each = np.arange(lo, min(lo + BLOCK, int(ends[-1])))
+            probe = np.searchsorted(ends, each, "right")
+            window = self.by[self.first[found[probe]] + each - (ends - n)[probe]]
+            begin = at[probe] - self.place[window]
+            doc = np.searchsorted(starts, at[probe], "right") - 1
+            fits = (begin >= starts[doc]) & (begin + self.size[window] < starts[doc + 1])  # length and positional bounds
+            begin, window, doc = begin[fits], window[fits], doc[fits]
+            ok = np.ones(len(begin), bool)
+            for j in range(self.words.shape[1]):
+                want = self.words[window, j]
+                ok &= (want == 0) | (flat[begin + j] == want)
+            out.append((doc[ok], begin[ok] - starts[doc[ok]], window[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingle: int, slice_windows: int) -> Iterator[WindowIndex]:
-    """Indexes over the items, in order of id, each of about slice_windows windows at most; one item is never split."""
-    held, windows = [], 0
+    """Indexes over the items, in order of id, each of at most slice_windows words and one window less a word."""
+    held, size, most = [], 0, max(slice_windows, window)
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     for row in rows.orderBy("i", "t").toLocalIterator():
-        words = words_of(row["t"])
-        if held and windows + len(words) > slice_windows:
-            yield WindowIndex(held, window, shingle)
-            held, windows = [], 0
-        if words:
-            held.append((row["i"], words))
-            windows += len(words)
+        words, at = words_of(row["t"]), 0
+        while at < len(words) and (at == 0 or len(words) - at >= window):
+            if held and size + min(len(words) - at, window) > most:
+                yield WindowIndex(held, window, shingle)
+                held, size = [], 0
+            part = words[at : at + max(most - size, window)]
+            held.append((row["i"], part))
+            size += len(part)
+            at += max(len(part) - window + 1, 1)
     if held:
         yield WindowIndex(held, window, shingle)
 
@@ -193,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     struct = pa.struct([("first", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("_key_a", pa.int64()), ("_key_b", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(struct))])
 
-    def found(index: WindowIndex | None) -> DataFrame:
+    def found(index: WindowIndex | None) -> tuple[DataFrame, Broadcast]:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,22 +224,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         spans[d] = [{"first": a, "end": b} for a, b in _spans(first[s:e], own.size[win[s:e]])]
                 yield build(schema, [column(batch, "doc_id"), column(batch, "_key_a"), column(batch, "_key_b"), [len(t) for t in texts], items, pa.array(spans, pa.list_(struct))])
 
-        return read.mapInArrow(match, _FOUND)
-
-    parts = [found(_ordered(read, index)) for index in _slices(benchmark, item_col, item_text, window, shingle, slice_windows)]
-    if len(parts) < 2:
-        return parts[0] if parts else found(None)
-    # More than one slice: number the rows of equal keys so that each slice's row of a document meets its others.
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    times = len(parts)
-    every = every.groupBy("_key_a", "_key_b", "doc_id").agg(
-        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("n"),
-    )
-    every = cut(every.withColumn("spans", F.array_sort(F.array_distinct("spans"))))
-    return every.select("doc_id", "_key_a", "_key_b", "n_words", "items", "spans", F.explode(F.sequence(F.lit(1), (F.col("n") / times).cast("int"))).alias("_copy")).drop("_copy")
+        return read.mapInArrow(match, _FOUND), shared
+
+    slices = _slices(benchmark, item_col, item_text, window, shingle, slice_windows)
+    index, after = next(slices, None), next(slices, None)
+    rows, shared = found(_ordered(read, index) if index else None)
+    if after is None:
+        return rows
+    # More slices: of every row the first's result is written, of the others what they found; equal rows find the same.
+    base, _ = written(rows)
+    hits = [base.where(F.size("items") > 0).select("_key_a", "_key_b", "items", "spans")]
+    while after is not None:
+        shared.destroy()
+        rows, shared = found(_ordered(read, after))
+        hits.append(written(rows.where(F.size("items") > 0).select("_key_a", "_key_b", "items", "spans"))[0])
+        after = next(slices, None)
+    shared.destroy()
+    # A set: at most one entry for each slice, however often the row is there.
+    met = reduce(DataFrame.unionByName, hits).groupBy("_key_a", "_key_b").agg(F.collect_set("items").alias("items"), F.collect_set("spans").alias("spans"))
+    met, _ = written(met.select("_key_a", "_key_b", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.array_sort(F.flatten("spans")).alias("spans")))
+    every = base.drop("items", "spans").join(met, ["_key_a", "_key_b"], "left")
+    empty = base.schema["items"].dataType, base.schema["spans"].dataType
+    return every.select("doc_id", "_key_a", "_key_b", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in zip(("items", "spans"), empty)])
 
 
 def _n_hit(spans):
@@ -238,10 +256,13 @@ def _n_hit(spans):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = MIN_ITEMS, **options) -> DataFrame:
-    """docs without the rows that contain windows of min_items benchmark items or more; all columns stay as they are."""
+    """docs without the rows that contain windows of min_items benchmark items or more; all columns stay as they are.
+
+    Nulls, repeated rows and empty tables as in contamination(); columns of any name stay."""
     found = contamination(docs, benchmark, id_col, text_col, **options)
-    bad = found.where(F.size("items") >= min_items).select("_key_a", "_key_b").distinct()
-    return docs.select("*", *row_keys(id_col, text_col)).join(bad, ["_key_a", "_key_b"], "left_anti").select(*docs.columns)
+    a, b = unused(docs.columns, "key_a", "key_b")
+    bad = found.where(F.size("items") >= min_items).select(F.col("_key_a").alias(a), F.col("_key_b").alias(b)).distinct()
+    return docs.select("*", *row_keys(id_col, text_col, (a, b))).join(bad, [a, b], "left_anti").select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@ A text's lines (physical lines, cut further after sentence ends) are hashed in n
 run of lines from a line on with GRAM_WORDS words, a window the shortest with RUN_WORDS. Each window selects its
 smallest gram hash, so two equal runs of RUN_WORDS words or more are sure to share a selected fingerprint. The
 fingerprints that occur twice or more are joined to their positions; around these, and only there, matches extend
-forwards and backwards as runs of RUN_WORDS words. The first occurrence of a run, by document id and place, stays;
+forwards and backwards: all runs of RUN_WORDS words that hold a joined position, from each line on and up to each line,
+whose union is as far as a repeat goes. The first occurrence of a run, by document id and place, stays;
 the lines of later ones are deleted. Counts and first places are combined before each shuffle, and no group of
-occurrences is ever gathered or paired off.
+occurrences is ever gathered or paired off: equal runs meet by two 64-bit hashes of all their lines, not pair by pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import build, column, drop, sliced, table, written
+from letterloom.llm.common import build, column, ddl_of, drop, sliced, table, unused, written
 
 GRAM_WORDS = 20
 RUN_WORDS = 40
@@ -33,9 +35,9 @@ _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
 def pieces_of(text: str) -> list[str]:
     """The text cut after every line break and after a sentence end with its space; joined again they are the text."""
-    mark = next((m for m in ("\x00", "\x01", "\x02") if m not in text), None)
+    mark = next((c for c in map(chr, range(0xD800)) if c not in text), None)  # a character that the text has not
     if mark is None:
-        return text.splitlines(keepends=True)
+        return re.split("(?<=\n)|(?<=[.!?] )", text)
     for end in ("\n", ". ", "! ", "? "):
         text = text.replace(end, end + mark)
     return text.split(mark)
@@ -204,7 +206,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
                 yield build(schema, [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), column(batch, "doc_id").take(take), column(batch, "_key").take(take), pa.array((start - base[doc]).astype(np.int32)), pa.array((last - base[doc]).astype(np.int32))])
 
     candidates = rows.select("_row", "doc_id", "_key", "hashes", "words").join(places, "_row").drop("_row")
-    grown, _ = written(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
+    grown, grown_path = written(candidates.mapInArrow(grow, "w_a long, w_b long, doc_id long, _key long, first int, last int"))
     drop(docs.sparkSession, rows_path, shared_path)  # what follows needs the grown runs alone
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "first")
     heads, _ = written(grown.groupBy("w_a", "w_b").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
@@ -230,22 +232,24 @@ def delete_lines(text: str, spans: list[dict]) -> tuple[str, int, int, int]:
     return out.rstrip("\n ") if gone[-1] else out, int(gone.sum()), int(words[gone].sum()), int(words[~gone].sum())
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS, added: Sequence[str] = ("_deleted_lines", "_deleted_words", "_emptied")) -> DataFrame:
     """docs with its text column rewritten, and _deleted_lines, _deleted_words and _emptied (no word is left) added.
 
     Later means a larger id (a null id last), then a larger hash of the text, then a later place in the text. Rows
     equal in id and text are one document: a run isn't deleted for standing in the other row. Null texts stay null;
     texts below run_words words and texts without a repeat stay as they are, to the byte; an empty table gives none.
+    Columns of docs that have the added ones' names give way to them; others stay, whatever their names.
     """
-    found = repeats(docs, id_col, text_col, gram_words, run_words)
-    keyed = docs.select("*", F.xxhash64(id_col, text_col).alias("_key_here"), F.col(id_col).cast("long").alias("_id_here"))
-    keyed = keyed.join(found, (F.col("_key_here") == F.col("_key")) & F.col("_id_here").eqNullSafe(F.col("_id")), "left")
-    columns = docs.columns
-    names = [*columns, "_deleted_lines", "_deleted_words", "_emptied"]
+    columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in added}]
+    key, here, ident, own, spans_ = unused([*columns, *added], "key", "key_here", "id", "own_id", "spans")
+    found = repeats(docs, id_col, text_col, gram_words, run_words).select(F.col("_id").alias(ident), F.col("_key").alias(key), F.col("_spans").alias(spans_))
+    keyed = docs.select(*columns, F.xxhash64(id_col, text_col).alias(here), F.col(id_col).cast("long").alias(own))
+    keyed = keyed.join(found, (F.col(here) == F.col(key)) & F.col(own).eqNullSafe(F.col(ident)), "left")
+    names = [*columns, *added]
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            spans, texts = column(batch, "_spans"), column(batch, text_col)
+            spans, texts = column(batch, spans_), column(batch, text_col)
             hit = np.nonzero(spans.is_valid().to_numpy(zero_copy_only=False))[0]
             counts = np.zeros((3, batch.num_rows), np.int64)
             if len(hit):
@@ -257,8 +261,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = [texts if n == text_col else column(batch, n) for n in columns]
             yield pa.RecordBatch.from_arrays([*out, pa.array(counts[0]), pa.array(counts[1]), pa.array(emptied)], names=names)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _deleted_lines long, _deleted_words long, _emptied boolean"
-    return keyed.select(*columns, "_spans").mapInArrow(apply, ddl)
+    ddl = f"{ddl_of(docs, columns)}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` boolean"
+    return keyed.select(*columns, spans_).mapInArrow(apply, ddl)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from letterloom.llm import decontaminate, licenses, linededup, lines, mixing, quality, secrets, simhash, tokens, toxicity
+from letterloom.llm import decontaminate, licenses, linededup, lines, mixing, pipeline, quality, secrets, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             secrets.op9_secret_scan,
             mixing.op10_mixing,
         )
-    } | {"pipeline": corpus_pipeline.run}
+    } | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

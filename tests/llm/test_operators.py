@@ -157,7 +157,7 @@ def test_decontamination_equals_brute_force(spark, sf_dir, documents):
     assert found.n_items.sum() > 0
 
 
-def test_decontamination_windows(spark, tmp_path):
+def test_decontamination_windows(spark, tmp_path, monkeypatch):
     a = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, a), (2, "x " + a + " alpha beta " + a.upper()), (3, "the the the the the the the the the"), (4, "tiny item"), (5, "before TINY-item after"), (6, " ".join(a.split()[:7])), (7, a.replace("iota", "jota")), (8, "the the the the the the the the"), (9, "tiny"), (10, None)]
     bench = [(1, a), (2, "the the the the the the the the"), (3, "tiny item"), (10, "alpha beta gamma delta epsilon zeta eta theta"), (11, "tiny"), (12, ""), (13, "item"), (13, "item")]
@@ -169,10 +169,13 @@ def test_decontamination_windows(spark, tmp_path):
     # slices of the index give the same, repeated documents included
     d = spark.createDataFrame(docs + [(1, a)], "doc_id long, text string")
     b = spark.createDataFrame(bench, "item_id long, text string")
+    b = b.unionByName(spark.createDataFrame([(20, "x " + a + " alpha beta " + a)], b.schema))  # longer than a slice
     whole = decontaminate.contamination(d, b).select("doc_id", "n_words", "items", decontaminate._n_hit(decontaminate.F.col("spans")).alias("n"))
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
     cut = decontaminate.contamination(d, b, slice_windows=4).select("doc_id", "n_words", "items", decontaminate._n_hit(decontaminate.F.col("spans")).alias("n"))
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, whole.collect())) == sorted(map(key, cut.collect()))
+    want = slow_contamination(docs, [r for r in map(tuple, b.collect())])
     assert {r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()} == {i for i, v in want.items() if not v[-1]}
 
 
@@ -483,13 +486,14 @@ def test_line_dedup_passages(spark):
 
 
 def test_pieces_join_to_the_text(documents):
-    for text in [*documents.text[:50], "a. b! c? d\n\n e", "\x00 a. b\n", "\x00\x01\x02 a. b\n\x0b c"]:
+    for text in [*documents.text[:50], "a. b! c? d\n\n e", "\x00 a. b\n", "\x00\x01\x02 a. b\n\x0b c", "".join(map(chr, range(0xD800))) + "a. b\nc! d"]:
+        assert len(linededup.pieces_of(text)) == len(re.findall(r"\n|[.!?] ", text)) + 1
         assert "".join(linededup.pieces_of(text)) == text
 
 
 def test_line_dedup_odd(odd, none):
     out = linededup.dedup_lines(odd)
-    assert out.count() == 12 and out.columns[:10] == odd.columns
+    assert out.count() == 12 and set(out.columns) == set(odd.columns) | {"_deleted_words"}
     assert linededup.dedup_lines(none).count() == 0
 
 

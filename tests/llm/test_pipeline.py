@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-import corpus_pipeline
 from letterloom.llm import neardup, quality, simhash
+from letterloom.llm import pipeline as corpus_pipeline
 from tests.llm.test_operators import slow_contamination, slow_fingerprint, slow_line_dedup
 
 
@@ -116,6 +116,29 @@ def test_near_duplicate_stage_by_similarity(spark):
     assert {r.doc_id for r in neardup.keep_one_similar(docs, shard_rows=2).collect()} == want
 
 
+def test_stages_odd(spark, sf_dir):
+    """Null ids and texts, empties, repeated rows and columns with the stages' own names, and an empty table."""
+    names = "_key _id _spans _deleted_lines _emptied deleted_lines emptied key_a _key_a times _shares _tokens _rate rate n_tokens p_clean".split()
+    texts = [(1, None), (2, ""), (3, "One two three four five six."), (3, "One two three four five six."), (None, "Words of no id here."), (None, None), (4, "Plain words of an ordinary text. " * 30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *([5] * len(names))) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        if name == "mixing":
+            assert len(rows) == 7 and {"rate", "n_tokens", "p_clean", "n_copies"} <= set(out.columns) and len(out.columns) == len({c.lower() for c in out.columns})
+            continue
+        assert out.columns == docs.columns and all(r[c] == 5 for r in rows for c in names), name
+        if name != "quality_classifier":
+            assert len(rows) == {"line_dedup": 7, "simhash_near_dedup": 4, "benchmark_decontamination": 7}[name]
+
+
+def test_the_script_has_the_stages():
+    import corpus_pipeline as script
+
+    assert script.STAGES is corpus_pipeline.STAGES and script.run is corpus_pipeline.run and script.ORACLE_SQL is None
+
+
 def test_near_duplicate_stage_odd(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (4, "One two"), (5, "one  two"), (None, "one two"), (None, "else"), (6, "one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
