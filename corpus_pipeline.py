@@ -1,72 +1,5 @@
-"""The corpus pipeline: documents to a weighted training mix, stage by stage, each written as Parquet and read again."""
+"""The corpus pipeline's stages, its SQL (none) and run(); written out in letterloom.llm.pipeline."""
 
-from __future__ import annotations
+from letterloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from letterloom.llm.common import scratch, table
-from letterloom.llm.decontaminate import decontaminate
-from letterloom.llm.linededup import dedup_lines
-from letterloom.llm.mixing import DOMAINS, copies, mix
-from letterloom.llm.neardup import keep_one_similar
-from letterloom.llm.quality import fit, keep_good
-
-#: A document that holds a window of one benchmark item is leaked; the operator's own query asks for two.
-LEAKED_ITEMS = 1
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs are deleted from the texts; a document that has only such runs goes."""
-    out = dedup_lines(docs)
-    left = out.where(~F.col("_emptied"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
-    return keep_one_similar(docs)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=LEAKED_ITEMS)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets the rate, and the whole copies, that bring the domains to their target weights."""
-    mixed = mix(docs, table(spark, sf_dir, "labels"))
-    posterior = [F.col("_shares")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return mixed.select(*docs.columns, F.col("_tokens").alias("n_tokens"), *posterior, F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id", F.xxhash64("text")).alias("n_copies"))
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", line_dedup),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("mixing", mixing),
-]
-
-#: No stage's classifier or fingerprint can be said in SQL; tests hold the stages against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the stages' tables stay in the scratch folder until the driver's Python ends."""
-    root = f"{scratch(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{n}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
