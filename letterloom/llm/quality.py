@@ -65,24 +65,31 @@ class ByteNet:
             flat[s : s + len(t)] = np.frombuffer(t, np.uint8)
         return flat, halves
 
+    @staticmethod
+    def last_rows(halves: np.ndarray) -> np.ndarray:
+        """The last step of each text, zeros all: its window would reach into the next text and is taken as zeros."""
+        return np.cumsum(halves) * (HALF // STEP) - 1
+
     def windows(self, flat: np.ndarray) -> np.ndarray:
-        """(positions + 1, STEP * WIDTH) inputs; a window is two rows that follow one another."""
+        """(positions + 1, STEP * WIDTH) inputs; a window is two rows that follow one another, the last row zeros."""
         return self.vectors[np.concatenate([flat, np.zeros(STEP, np.uint8)])].reshape(-1, STEP * WIDTH)
 
-    def responses(self, x: np.ndarray) -> np.ndarray:
+    def responses(self, x: np.ndarray, last: np.ndarray) -> np.ndarray:
         w, k = self.params["w"], STEP * WIDTH
         z = x[:-1] @ w[:k]
         z += x[1:] @ w[k:]
+        z[last] = 0
         z += self.params["b"]
         return np.maximum(z, 0, out=z)
 
-    def pooled(self, flat: np.ndarray) -> np.ndarray:
+    def pooled(self, flat: np.ndarray, halves: np.ndarray) -> np.ndarray:
         """Each half's largest responses, block by block."""
-        out = []
+        out, last = [], self.last_rows(halves)
         for at in range(0, len(flat), BLOCK):
             end = min(at + BLOCK, len(flat))
             x = self.vectors[np.concatenate([flat[at:end], flat[end : end + STEP], np.zeros(STEP, np.uint8)])[: end - at + STEP]]
-            out.append(self.responses(x.reshape(-1, STEP * WIDTH)).reshape(-1, HALF // STEP, FILTERS).max(axis=1))
+            own = last[np.searchsorted(last, at // STEP) : np.searchsorted(last, end // STEP)] - at // STEP
+            out.append(self.responses(x.reshape(-1, STEP * WIDTH), own).reshape(-1, HALF // STEP, FILTERS).max(axis=1))
         return np.concatenate(out)
 
     @staticmethod
@@ -113,13 +120,14 @@ class ByteNet:
         if not len(texts):
             return np.zeros(0)
         flat, halves = self.laid_out(texts)
-        z = self.logits(self.combined(self.pooled(flat), halves, self.short(texts))[1]).astype(np.float64)
+        z = self.logits(self.combined(self.pooled(flat, halves), halves, self.short(texts))[1]).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(self, texts: Sequence[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         flat, halves = self.laid_out(texts)
         x = self.windows(flat)
-        a = self.responses(x).reshape(-1, HALF // STEP, FILTERS)
+        last = self.last_rows(halves)
+        a = self.responses(x, last).reshape(-1, HALF // STEP, FILTERS)
         place = a.argmax(axis=1)
         top = np.take_along_axis(a, place[:, None, :], 1)[:, 0]
         short = self.short(texts)
@@ -142,7 +150,9 @@ class ByteNet:
         np.add.at(d_half, right, d_chunk * ~from_left)
         d_half *= top > 0
         rows = (np.arange(len(top))[:, None] * (HALF // STEP) + place).ravel()
-        seen = np.concatenate([x[rows], x[rows + 1]], axis=1).reshape(len(top), FILTERS, -1)
+        after = rows + 1
+        after[np.isin(rows, last)] = len(x) - 1
+        seen = np.concatenate([x[rows], x[after]], axis=1).reshape(len(top), FILTERS, -1)
         out["w"] = np.einsum("hf,hfd->df", d_half, seen, optimize=True)
         out["b"] = d_half.sum(axis=0)
         return out

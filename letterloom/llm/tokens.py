@@ -34,6 +34,53 @@ _SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _FINE = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}+{_OTHER}*|{_OTHER}+|\n")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message's fields, in order."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+# Fixed values of the model file: the fields of its parts, the kind of a byte-pair model and of a user-defined piece.
+_PIECE, _TRAINER, _NORMALIZER, _DENORMALIZER = 1, 2, 3, 5
+_MODEL_TYPE, _BYTE_PAIRS, _PIECE_TYPE, _USER_DEFINED = 3, 2, 3, 4
+_SWITCHES = {35: ("byte_fallback", 0, 1), 24: ("treat_whitespace_as_suffix", 0, 0)}
+_NORMAL = {3: ("add_dummy_prefix", 1, 1), 4: ("remove_extra_whitespaces", 1, 0), 5: ("escape_whitespaces", 1, 1)}
+
+
+def unfit(model: bytes) -> list[str]:
+    """What of a serialized model the prefix tables would count wrongly; nothing for a model that they fit."""
+    parts: dict[int, list] = {}
+    for number, value in _fields(model):
+        parts.setdefault(number, []).append(value)
+    trainer, normal = (dict(_fields(parts.get(n, [b""])[-1])) for n in (_TRAINER, _NORMALIZER))
+    out = [] if trainer.get(_MODEL_TYPE, 1) == _BYTE_PAIRS else ["it is no byte-pair model"]
+    out += [f"{name} is {held}" for held_in, rules in ((trainer, _SWITCHES), (normal, _NORMAL)) for number, (name, default, wanted) in rules.items() if (held := held_in.get(number, default)) != wanted]
+    if normal.get(2) or normal.get(6):
+        out.append("it has a normaliser")
+    if any(dict(_fields(p)).get(_PIECE_TYPE) == _USER_DEFINED for p in parts.get(_PIECE, [])):
+        out.append("it has user-defined pieces")
+    return out
+
+
 class _Known(dict):
     """Words to their tables: the last pieces' numbers, then the counts, as bytes where a word is short enough to keep.
 
@@ -68,6 +115,8 @@ class PrefixTables:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if found := unfit(model.serialized_model_proto()):
+            raise ValueError(f"prefix tables don't fit this model: {', '.join(found)}")
         plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.rank = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.rank):

@@ -1,15 +1,17 @@
 """Toxicity: a counterfactual-regularised logistic classifier over words and word beginnings.
 
-Features that a bounded labelled sample shows to go with the label are kept; a document has a feature if any of its
-words has it, so a score doesn't drift with length. The fit adds a penalty: every labelled sentence that mentions an
-identity term is repeated with the term swapped for each other one and for a neutral word, and the squared change of
-its score is charged. Terms that merely stand near abuse in the labels thereby lose their weight, and neutral
-mentions of a group score as if no group were named. Scoring is one Arrow pass over whole texts.
+Features that a bounded labelled sample shows to go with the label are kept, and the identity terms always; a document
+has a feature if any of its words has it, so a score doesn't drift with length. The fit adds a penalty: labelled sentences
+are repeated with every identity term, and every neutral word, in the place of the one they name, or put in where they name
+none, and the spread of the scores over these versions of a sentence is charged. Terms that merely stand near abuse, or
+away from it, in the labels thereby lose their weight, and neutral mentions of a group score as if no group were named.
+Scoring is one Arrow pass over whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -26,8 +28,9 @@ FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5, 6)
 #: A feature is kept if at least so many labelled texts have it and its log odds are so many standard errors above zero.
 MIN_TEXTS, MIN_Z = 3, 3.0
-MAX_FEATURES = 20_000
-RIDGE, COUNTERFACTUAL = 0.02, 1.0
+RIDGE, COUNTERFACTUAL = 0.02, 100.0
+#: Labelled sentences that are repeated with other terms, at most: those that name one first.
+SENTENCES = 1000
 #: A feature that so many texts of label 1 have, and hardly any other text, makes its sentences examples of their own.
 SURE_TEXTS, SURE_SHARE = 10, 0.98
 
@@ -81,19 +84,49 @@ def select(documents: Sequence[set[str]], y: np.ndarray) -> tuple[list[str], set
             kept.append((-odds / error, f))
             if a >= SURE_TEXTS and a / n1 >= SURE_SHARE * (a / n1 + b / n0):
                 sure.add(f)
-    return [f for _, f in sorted(kept)[:MAX_FEATURES]], sure
-
-
-def counterfactuals(texts: Sequence[str]) -> list[tuple[set[str], set[str]]]:
-    """Pairs of feature sets: a sentence that names an identity term, and the sentence with the term swapped."""
-    pairs = []
-    for text in texts:
-        for sentence in _SENTENCE.split(text):
-            words = words_of(sentence)
-            for term in sorted(words & _IDENTITY):
-                rest = words - {term}
-                pairs += [(words, rest | {other}) for other in (*IDENTITY_TERMS, *NEUTRAL_TERMS) if other != term]
-    return pairs
+    return [f for _, f in sorted(kept)], sure
+
+
+def template_sentences(texts: Iterable[str], most: int = SENTENCES) -> list[set[str]]:
+    """Words, identity terms left out, of labelled sentences: those that name a term first, in an order given by a hash."""
+    held = {s: words_of(s) for text in texts for s in _SENTENCE.split(text)}
+    ranked = sorted((not (words & _IDENTITY), zlib.crc32(s.encode("utf-8", "replace")), s) for s, words in held.items() if words)
+    return [held[s] - _IDENTITY for _, _, s in ranked[:most]]
+
+
+class Counterfactuals:
+    """The versions of sentences, each with one identity term or neutral word, and the charge on their scores' spread."""
+
+    def __init__(self, sentences: Sequence[set[str]], number: dict[str, int]):
+        own = [sorted(number[f] for f in features_of({t}) if f in number) for t in (*IDENTITY_TERMS, *NEUTRAL_TERMS)]
+        self.at = np.array(sorted({i for x in own for i in x}), np.int64)  # the features that any term has
+        place = {i: k for k, i in enumerate(self.at.tolist())}
+        self.has = np.zeros((len(own), len(self.at)))
+        for t, x in enumerate(own):
+            self.has[t, [place[i] for i in x]] = 1
+        rows = [sorted(number[f] for f in features_of(s) if f in number) for s in sentences]
+        self.r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        self.c = np.array([i for x in rows for i in x], np.int64)
+        self.lacks = np.ones((len(rows), len(self.at)))  # a feature that the sentence has already adds nothing
+        for s, x in enumerate(rows):
+            self.lacks[s, [place[i] for i in x if i in place]] = 0
+        self.n = len(rows)
+
+    def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """One row for each sentence, one column for each term."""
+        return sigmoid(bias + np.bincount(self.r, w[self.c], self.n)[:, None] + (self.lacks * w[self.at]) @ self.has.T)
+
+    def spread(self, w: np.ndarray, bias: float) -> float:
+        p = self.scores(w, bias)
+        return float(np.square(p - p.mean(axis=1, keepdims=True)).mean())
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Of spread(), by the weights and the bias."""
+        p = self.scores(w, bias)
+        g = 2 / p.size * (p - p.mean(axis=1, keepdims=True)) * p * (1 - p)
+        out = np.bincount(self.c, g.sum(axis=1)[self.r], len(w)).astype(np.float64)
+        out[self.at] += ((g @ self.has) * self.lacks).sum(axis=0)
+        return out, float(g.sum())
 
 
 class ToxicityModel:
@@ -122,6 +155,7 @@ def fit_texts(texts: Sequence[str], y: Sequence[int], weight: Sequence[float], c
         return ToxicityModel([], np.zeros(0), 0.0 if not len(y) else 4.0 if y[0] else -4.0)
     documents = [features_of(words_of(t)) for t in texts]
     names, sure = select(documents, y)
+    names += [t for t in IDENTITY_TERMS if t not in set(names)]
     number = {f: i for i, f in enumerate(names)}
     # A single sentence with a sure feature is as much an example as a text with many; together they weigh as the texts do.
     sentences = [d for t, v in zip(texts, y) if v for s in _SENTENCE.split(t) if not sure.isdisjoint(d := features_of(words_of(s)))]
@@ -132,39 +166,32 @@ def fit_texts(texts: Sequence[str], y: Sequence[int], weight: Sequence[float], c
     rows = [sorted(number[f] for f in d if f in number) for d in documents]
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     c = np.array([i for x in rows for i in x], np.int64)
-    # A pair's score change is a sum of weights: what the sentence has and its swap lacks, less the reverse.
-    moves = Counter()
-    for a, b in counterfactuals(texts):
-        fa, fb = features_of(a), features_of(b)
-        gone = tuple(sorted(number[f] for f in fa - fb if f in number))
-        new = tuple(sorted(number[f] for f in fb - fa if f in number))
-        if gone or new:
-            moves[gone, new] += 1
-    share = sum(moves.values()) or 1
+    versions = Counterfactuals(template_sentences(texts) if counterfactual else [], number)
+    least = np.array([-np.inf if f in _IDENTITY else 0.0 for f in names])  # other features speak for the label only, so that length can't speak against it
     w, bias = np.zeros(len(names)), float(np.log(np.average(y, weights=weight) / (1 - np.average(y, weights=weight))))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(r, w[c], len(rows))
         d = (sigmoid(z) - y) * weight / len(y)
         g = np.bincount(c, d[r], len(names)) + RIDGE / len(y) * w
-        for (gone, new), n in moves.items():
-            change = 2 * counterfactual * n / share * (w[list(gone)].sum() - w[list(new)].sum())
-            g[list(gone)] += change
-            g[list(new)] -= change
-        g = np.append(g, d.sum())
+        slope = d.sum()
+        if versions.n:
+            charge, at_bias = versions.gradient(w, bias)
+            g, slope = g + counterfactual * charge, slope + counterfactual * at_bias
+        g = np.append(g, slope)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-        np.maximum(w, 0, out=w)  # features speak for the label only; length can't speak against it
+        np.maximum(w, least, out=w)
     return ToxicityModel(names, w, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train=None, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model of at most 1,500 labelled texts of each class (see labelled.sample); the prior where labels lack a class."""
     train = train if train is not None else F.coalesce(fold("i", FOLDS) != HELD_OUT, F.lit(False))
-    rows, _ = sample(docs, labels, [label_col], train, id_col, text_col)
+    rows = sample(docs, labels, [label_col], [(0,), (1,)], train, id_col, text_col)
     return fit_texts([t for t, _, _ in rows], [int(y[0]) for _, y, _ in rows], [w for _, _, w in rows])
 
 

@@ -216,7 +216,7 @@ def test_network_gradients():
 
     def loss():
         flat, halves = net.laid_out(texts)
-        z = net.logits(net.combined(net.pooled(flat), halves, net.short(texts))[1])
+        z = net.logits(net.combined(net.pooled(flat, halves), halves, net.short(texts))[1])
         return float(np.mean(np.log1p(np.exp(-z * (2 * y - 1)))) + 0.5e-4 * (net.params["o"] ** 2).sum())
 
     grads = net.gradients(texts, y, w)
@@ -233,11 +233,39 @@ def test_network_gradients():
 
 def test_network_blocks_cover_the_text(monkeypatch):
     net = quality.ByteNet(3)
+    net.params["o"] = np.random.default_rng(0).standard_normal(net.params["o"].shape).astype(np.float32) * 0.1
     texts = [bytes(np.random.default_rng(1).integers(32, 120, 300_000, dtype=np.uint8)), b"short"]
-    whole = net.pooled(net.laid_out(texts)[0])
+    whole = net.pooled(*net.laid_out(texts))
     monkeypatch.setattr(quality, "BLOCK", 512)
-    assert np.allclose(whole, net.pooled(net.laid_out(texts)[0]), atol=1e-5)
-    assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-6)
+    assert np.allclose(whole, net.pooled(*net.laid_out(texts)), atol=1e-5)
+    assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-5)
+
+
+def test_scores_equal_a_plain_loop_network(documents):
+    """The network's score of short and long texts, position by position in plain loops."""
+    net = quality.ByteNet(3)
+    rng = np.random.default_rng(0)
+    net.params["o"] = rng.standard_normal(net.params["o"].shape).astype(np.float32) * 0.1
+    w, b = net.params["w"].astype(np.float64), net.params["b"]
+
+    def slow(raw):
+        halves = (len(raw) + quality.STEP + quality.HALF - 1) // quality.HALF
+        padded = raw + bytes(halves * quality.HALF + quality.STEP - len(raw))
+        pooled = []
+        for h in range(halves):
+            best = np.zeros(quality.FILTERS)
+            for at in range(h * quality.HALF, (h + 1) * quality.HALF, quality.STEP):
+                seen = np.concatenate([net.vectors[padded[at + i]] for i in range(2 * quality.STEP)])
+                best = np.maximum(best, seen @ w + b)
+            pooled.append(best)
+        chunks = [np.maximum(x, y) for x, y in zip(pooled, pooled[1:])] or pooled
+        short = max(0.0, 1 - len(raw) / (2 * quality.HALF))
+        most = np.max(chunks, axis=0)
+        z = np.concatenate([most, np.mean(chunks, axis=0), np.min(chunks, axis=0), most * short, [short]]) @ net.params["o"] + net.params["c"][0]
+        return 1 / (1 + np.exp(-z))
+
+    raws = [b"", b"a", *(t.encode() for t in documents.text[:12])]
+    assert np.allclose(net.score(raws), [slow(r) for r in raws], atol=1e-5)
 
 
 def test_toxicity_learns(spark):
@@ -269,6 +297,41 @@ def test_counterfactuals_free_identity_terms():
     assert min(free.scores(["a vileword comes", "foulword", "muslims and a grimword"])) > 0.7
 
 
+def test_counterfactual_gradient():
+    """Against finite differences; a sentence's own features and the terms' overlap."""
+    rng = np.random.default_rng(5)
+    names = ["muslims", "musl*", "muslim*", "women", "vile", "gens", "vieux"]
+    versions = toxicity.Counterfactuals([{"vile", "muslimah"}, {"plain"}, {"vile"}], {f: i for i, f in enumerate(names)})
+    w, bias = rng.standard_normal(7), -0.3
+    found, at_bias = versions.gradient(w, bias)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        assert found[i] == pytest.approx((versions.spread(w + step, bias) - versions.spread(w - step, bias)) / 2e-6, abs=1e-7)
+    assert at_bias == pytest.approx((versions.spread(w, bias + 1e-6) - versions.spread(w, bias - 1e-6)) / 2e-6, abs=1e-7)
+    terms = (*toxicity.IDENTITY_TERMS, *toxicity.NEUTRAL_TERMS)
+    model = toxicity.ToxicityModel(names, w, bias)
+    assert np.allclose(versions.scores(w, bias), [model.scores([f"{s} {t}" for t in terms]) for s in ("vile muslimah", "plain", "vile")])
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_counterfactuals_act_on_the_tables(sf):
+    """The penalty changes the fit on the labelled texts, and scores hardly move when terms are swapped."""
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.merge(labels, on="doc_id").sort_values("doc_id")
+    both = both[both.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 != 1)].head(1500)
+    texts, y = both.text.tolist(), both.toxic.tolist()
+    free, tied = (toxicity.fit_texts(texts, y, np.ones(len(y)), counterfactual=c) for c in (toxicity.COUNTERFACTUAL, 0.0))
+    changed = [abs(free.weights[f] - tied.weights[f]) for f in free.weights]
+    assert max(abs(tied.weights[t]) for t in toxicity.IDENTITY_TERMS) > 0.05 and max(changed) > 0.02
+
+    def spread(model):
+        names = list(model.weights)
+        versions = toxicity.Counterfactuals(toxicity.template_sentences(texts), {f: i for i, f in enumerate(names)})
+        return versions.spread(np.array([model.weights[f] for f in names]), model.bias)
+
+    assert spread(free) < 0.5 * spread(tied)
+
+
 def test_classifiers_odd(odd, none):
     net, model = quality.ByteNet(), toxicity.fit_texts(["bad idiot"] * 5 + ["good"] * 5, [1] * 5 + [0] * 5, np.ones(10))
     for scored in (quality.quality_scores(odd, net), toxicity.toxicity_scores(odd, model)):
@@ -317,6 +380,13 @@ def test_every_prefix_is_exact(documents, library, monkeypatch):
         assert small.count(text) == len(library.encode(text))
 
 
+def test_unfit_models_are_refused(library):
+    raw = library.serialized_model_proto()
+    assert tokens.unfit(raw) == []
+    for more, says in ((b"\x12\x02\x18\x01", "no byte-pair"), (b"\x1a\x02\x18\x00", "add_dummy_prefix"), (b"\x1a\x02\x20\x01", "remove_extra"), (b"\x0a\x05\x0a\x01x\x18\x04", "user-defined")):
+        assert any(says in x for x in tokens.unfit(raw + more)), says
+
+
 def test_tokens_odd(odd, none):
     rows = tokens.token_counts(odd, limit=3, prefixes=True).collect()
     assert len(rows) == 12
