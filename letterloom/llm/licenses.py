@@ -176,9 +176,10 @@ def notices(rows: DataFrame, templates: Sequence[Template], threshold: float = T
     tokens = rows.where(F.size("hits") > 0).select("_row", F.array_distinct("hits.token").alias("tokens"))
     probes = tokens.select("_row", F.size("tokens").alias("held"), F.explode("tokens").alias("token"))
     likely = probes.join(_side(spark, prefix, "token string, template int, need int"), "token").where("held >= need").select("_row", "template").distinct()
-    spread = rows.join(likely.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
-    met = spread.join(_side(spark, index, "token string, template int, place int, n int, need int, words int, label string"), "token")
-    met = met.join(likely, ["_row", "template"], "left_semi").groupBy("_row", "template", "n", "need", "words", "label")
+    likely, _ = written(likely)  # its size is known from here on: a small one is broadcast, and no text's words are shuffled
+    spread = rows.select("_row", "hits").join(likely, "_row").select("_row", "template", F.explode("hits").alias("h")).select("_row", "template", "h.*")
+    met = spread.join(_side(spark, index, "token string, template int, place int, n int, need int, words int, label string"), ["template", "token"])
+    met = met.groupBy("_row", "template", "n", "need", "words", "label")
     met = met.agg(F.array_sort(F.collect_list(F.struct("at", "place"))).alias("found"), F.count_distinct("place").alias("held"), F.min("place").alias("first"))
     met = met.where((F.col("held") >= F.col("need")) & (F.col("n") - F.col("first") >= F.col("need")))
     blocks = met.select("_row", "label", "n", "need", _most_tokens(F.col("found"), F.col("words")).alias("blocks"))
@@ -212,7 +213,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     split = [(words_of(p), label) for p, label in phrases]
     vocabulary = sorted({t for x in templates for t in x.tokens} | {w for p, _ in split for w in p})
     rows, _ = written(held_words(docs, vocabulary, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    of_row = notices(rows, templates, threshold).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("label", "share", "word"))).alias("found"))
+    of_row, _ = written(notices(rows, templates, threshold).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("label", "share", "word"))).alias("found")))
     at = [_places(p) for p, _ in split]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(split)]))))
     placed = rows.select("_row", "doc_id", "n_words", *[a.alias(f"at{i}") for i, a in enumerate(at)])
