@@ -51,11 +51,11 @@ def test_chunks_of_long_texts(spark, tmp_path):
     texts = [" ".join(f"w{i * i % 977}" for i in range(n)) for n in (3, 400, 1500, 1501, 4000)] + ["", "x" * 3000 + " y" * 1600]
     rows = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {(r.doc_id, r.chunk_index): r.chunk_text for r in catalog.QUERIES["chunk_text_whole"](spark, str(tmp_path)).collect()}
+    found = {(r.doc_id, r.chunk_index): r.chunk_text for r in catalog.QUERIES["chunk_text"](spark, str(tmp_path)).collect()}
     assert found == {(i, n): c for i, t in rows for n, c in enumerate(slow_chunks(t))}
 
 
-@pytest.mark.parametrize("name", ["precision_at_5_stated", "reciprocal_rank_stated"])
+@pytest.mark.parametrize("name", ["precision_at_5", "reciprocal_rank"])
 def test_every_stated_query_counts(name, spark):
     ids = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()} == ids and len(ids) > 10
