@@ -29,8 +29,8 @@ def _engine(a, s: Settings) -> Engine:
     return Engine(Store(_spark(), a.db or s.db_path), provider(s.embedding, dimension=s.embedding_dimension))
 
 
-def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wanted: str | None = None, resume: bool = True, refresh: bool = False, years: list[int] | None = None) -> None:
-    """The stages in order, each marked in the workspace; finished ones are passed over on resume."""
+def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wanted: str | None = None, resume: bool = True, refresh: bool = False, years: list[int] | None = None, limit: int | None = None) -> None:
+    """The stages in order, vectorize and ingest over the first mails where a limit is given, each marked in the workspace; finished ones are passed over on resume."""
     todo = stages.stage_set(wanted)
     workspace.ensure()
     if refresh:
@@ -62,7 +62,7 @@ def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wa
                 made.parsed.unpersist()
             elif stage == "vectorize":
                 store, records = Store(spark, workspace.path("embeddings")), stages.good_records(read_lines(spark, workspace.path("clean", "*.json")))[0]
-                vectors, chunk_vectors = stages.vectorize(stages.to_emails(records), by, s.chunk_size, s.chunk_overlap)
+                vectors, chunk_vectors = stages.vectorize(stages.to_emails(records), by, s.chunk_size, s.chunk_overlap, limit)
                 store.create(vectors, "email_vectors")
                 store.create(chunk_vectors, "chunk_vectors")
             elif stage == "ingest":
@@ -71,7 +71,7 @@ def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wa
                 for name in ("email_vectors", "chunk_vectors"):
                     store.create(ready.read(name), name)
                 bad.write.mode("overwrite").json(workspace.path("logs", "errors"))
-                details = {"stored": stages.ingest(store, good, by, s.chunk_size, s.chunk_overlap)}
+                details = {"stored": stages.ingest(store, good, by, s.chunk_size, s.chunk_overlap, limit=limit)}
                 store.index_fulltext()
         except KeyboardInterrupt:
             workspace.update(stage, "interrupted")
@@ -93,7 +93,10 @@ def main(argv: list[str] | None = None) -> int:
         return c
 
     db = (["--db"], {})
-    command("pipeline", (["mbox"], {"nargs": "+"}), (["--workspace"], {"required": True}), (["--stages"], {}), (["--refresh"], {"action": "store_true"}), (["--no-resume"], {"action": "store_true"}), (["--years"], {"type": int, "nargs": "*"}))
+    command("pipeline", (["mbox"], {"nargs": "+"}), (["--workspace"], {"required": True}), (["--stages"], {}), (["--refresh"], {"action": "store_true"}), (["--no-resume"], {"action": "store_true"}), (["--years"], {"type": int, "nargs": "*"}), (["--limit"], {"type": int}))
+    command("split", (["mbox"], {}), (["--output"], {"required": True}), (["--years"], {"type": int, "nargs": "*"}))
+    command("index", (["mbox"], {}), (["--output"], {"required": True}))
+    command("preprocess", (["mbox"], {}), (["--output"], {"required": True}))
     command("query", (["text"], {}), (["--limit"], {"type": int, "default": 20}), db, aliases=["search"])
     command("stats", db)
     command("serve", (["--host"], {"default": "127.0.0.1"}), (["--port"], {"type": int, "default": 8000}), db)
@@ -107,7 +110,17 @@ def main(argv: list[str] | None = None) -> int:
     command("version")
     a, s = p.parse_args(argv), Settings.load()
     if a.command == "pipeline":
-        run_pipeline(_spark(), a.mbox, Workspace(a.workspace), s, a.stages, not a.no_resume, a.refresh, a.years)
+        run_pipeline(_spark(), a.mbox, Workspace(a.workspace), s, a.stages, not a.no_resume, a.refresh, a.years, a.limit)
+    elif a.command == "split":
+        print(json.dumps({r["period"]: {"emails": r["emails"], "bytes": r["bytes"]} for r in stages.write_split(read_mbox(_spark(), a.mbox), a.output, a.years).collect()}))
+    elif a.command == "index":
+        stages.build_index(read_mbox(_spark(), a.mbox)).write.mode("overwrite").parquet(a.output)
+    elif a.command == "preprocess":
+        made = stages.preprocess(read_mbox(_spark(), a.mbox))
+        made.clean.write.mode("overwrite").json(f"{a.output}/clean")
+        made.spam.write.mode("overwrite").json(f"{a.output}/spam")
+        made.index.write.mode("overwrite").parquet(f"{a.output}/mbox_index")
+        made.parsed.unpersist()
     elif a.command in ("query", "search"):
         print(json.dumps(api.search(_engine(a, s), a.text, a.limit), indent=2, default=str))
     elif a.command == "stats":
@@ -140,11 +153,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "ignore-apply":
         from pyspark.sql import functions as F
 
-        records, _ = read_clean(_spark(), a.clean)
+        records, errors = read_clean(_spark(), a.clean)
         columns = {"from_address": F.col("headers.from.email"), "subject": F.col("headers.subject"), "labels": F.col("tags"), "list_id": F.col("headers.list_id"), "message_id": F.col("headers.message_id")}
         kept, ignored = rules.routed(records, rules.load_rules(a.rules), columns)
-        kept.select("line").write.mode("overwrite").text(a.kept)
+        # Lines that are no JSON match no rule: they stay, as they are, for the stages that report them.
+        kept.select("line").unionByName(errors.select(F.col("raw").alias("line"))).write.mode("overwrite").text(a.kept)
         ignored.drop("line").write.mode("overwrite").json(a.ignored)
+        by_rule = {r["ignore_rule_id"]: r["count"] for r in ignored.groupBy("ignore_rule_id").count().collect()}
+        print(json.dumps({"kept": kept.count(), "ignored": sum(by_rule.values()), "undecodable": errors.count(), "by_rule": by_rule}))
     elif a.command == "workspace-init":
         Workspace(a.path).ensure()
     elif a.command == "workspace-info":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ISSUE = "struct<code:string,field:string,message:string,value:string>"
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, ... or null for a missing or null value."""
     s = F.schema_of_variant(v)
     return F.when(v.isNull() | F.is_variant_null(v), None).otherwise(F.regexp_extract(s, "^[A-Z]+", 0))
@@ -23,7 +23,7 @@ def _text(v: Column) -> Column:
 
 
 def _filled(v: Column) -> Column:
-    return F.coalesce((_kind(v) == "STRING") & (F.trim(_text(v)) != ""), F.lit(False))
+    return F.coalesce((kind_of(v) == "STRING") & (F.trim(_text(v)) != ""), F.lit(False))
 
 
 def _issue(code: str, field: Column | str, message: str, value: Column | None = None) -> Column:
@@ -40,26 +40,26 @@ def _when(test: Column, issue: Column) -> Column:
 
 def _each(list_: Column, bad, issue) -> Column:
     """Issues of the items of an array VARIANT (none for anything else)."""
-    items = F.when(_kind(list_) == "ARRAY", F.try_variant_get(list_, "$", "array<variant>"))
+    items = F.when(kind_of(list_) == "ARRAY", F.try_variant_get(list_, "$", "array<variant>"))
     numbered = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     return F.transform(F.filter(numbered, lambda e: bad(e["x"])), lambda e: issue(e["x"], e["i"]))
 
 
 def _has_address(v: Column) -> Column:
-    given = F.when(_kind(v) == "OBJECT", F.trim(F.coalesce(_text(_at(v, "$.email")), F.lit(""))) != "")
-    return F.coalesce(given, (_kind(v) == "STRING") & _text(v).rlike(r"\S"), F.lit(False))
+    given = F.when(kind_of(v) == "OBJECT", F.trim(F.coalesce(_text(_at(v, "$.email")), F.lit(""))) != "")
+    return F.coalesce(given, (kind_of(v) == "STRING") & _text(v).rlike(r"\S"), F.lit(False))
 
 
 def _is_date(v: Column) -> Column:
     t = _text(v)
     iso = F.regexp_replace(t, r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz").isNotNull() & t.rlike(r"^\d{4}-\d{2}-\d{2}")
     rfc = t.rlike(r"(?i)^\s*([a-z]{3},\s*)?\d{1,2}\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{2,4}\s+\d{1,2}:\d{2}(:\d{2})?(\s.*)?$")
-    return F.coalesce((_kind(v) == "STRING") & (iso | rfc), F.lit(False))
+    return F.coalesce((kind_of(v) == "STRING") & (iso | rfc), F.lit(False))
 
 
 def issues(record: Column) -> Column:
     """array<struct<code, field, message, value>> of a VARIANT record, in the order of the record's parts."""
-    headers = F.when(_kind(_at(record, "$.headers")) == "OBJECT", _at(record, "$.headers"))
+    headers = F.when(kind_of(_at(record, "$.headers")) == "OBJECT", _at(record, "$.headers"))
     content, tags, files = _at(record, "$.content"), _at(record, "$.tags"), _at(record, "$.attachments")
 
     def h(name: str) -> Column:
@@ -69,31 +69,31 @@ def issues(record: Column) -> Column:
         return F.concat(F.lit(f"{field}["), i.cast("string"), F.lit(f"]{tail}"))
 
     def variant_size(v: Column) -> Column:
-        return F.coalesce(F.when(_kind(v) == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>"))), F.lit(0))
+        return F.coalesce(F.when(kind_of(v) == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>"))), F.lit(0))
 
     has_files = variant_size(files) > 0
     refs = h("references")
     out = [
-        _when(F.coalesce(_kind(_at(record, "$.headers")) != "OBJECT", F.lit(True)), _issue("headers.type", "headers", "headers must be an object", _kind(_at(record, "$.headers")))),
-        _when(F.coalesce(_kind(content) != "ARRAY", F.lit(True)), _issue("content.type", "content", "content must be a list", _kind(content))),
-        _when(_kind(tags) != "ARRAY", _issue("tags.type", "tags", "tags must be a list of strings", _kind(tags))),
+        _when(F.coalesce(kind_of(_at(record, "$.headers")) != "OBJECT", F.lit(True)), _issue("headers.type", "headers", "headers must be an object", kind_of(_at(record, "$.headers")))),
+        _when(F.coalesce(kind_of(content) != "ARRAY", F.lit(True)), _issue("content.type", "content", "content must be a list", kind_of(content))),
+        _when(kind_of(tags) != "ARRAY", _issue("tags.type", "tags", "tags must be a list of strings", kind_of(tags))),
         _each(tags, lambda x: ~_filled(x), lambda x, i: _issue("tags.value", name("tags", i), "a tag must be a non-empty string", F.to_json(x))),
-        _when(_kind(h("from")).isNotNull() & ~_has_address(h("from")), _issue("headers.from.email", "headers.from", "the sender must have an address", F.to_json(h("from")))),
+        _when(kind_of(h("from")).isNotNull() & ~_has_address(h("from")), _issue("headers.from.email", "headers.from", "the sender must have an address", F.to_json(h("from")))),
     ]
     for field in ("to", "cc", "bcc"):
-        out.append(_when(_kind(h(field)) != "ARRAY", _issue(f"headers.{field}.type", f"headers.{field}", f"{field} must be a list", _kind(h(field)))))
+        out.append(_when(kind_of(h(field)) != "ARRAY", _issue(f"headers.{field}.type", f"headers.{field}", f"{field} must be a list", kind_of(h(field)))))
         out.append(_each(h(field), lambda x: ~_has_address(x), lambda x, i, field=field: _issue(f"headers.{field}.email", name(f"headers.{field}", i), "an entry must have an address", F.to_json(x))))
     out += [
-        _when(_kind(h("date")).isNotNull() & ~_is_date(h("date")), _issue("headers.date", "headers.date", "the date must be ISO 8601 or RFC 2822", _text(h("date")))),
+        _when(kind_of(h("date")).isNotNull() & ~_is_date(h("date")), _issue("headers.date", "headers.date", "the date must be ISO 8601 or RFC 2822", _text(h("date")))),
         _each(refs, lambda x: ~_filled(x), lambda x, i: _issue("headers.references.value", name("headers.references", i), "a reference must be a non-empty string", F.to_json(x))),
-        _when((_kind(refs) == "STRING") & ~_filled(refs), _issue("headers.references.value", "headers.references", "references must be non-empty", _text(refs))),
-        _when(~_kind(refs).isin("ARRAY", "STRING"), _issue("headers.references.type", "headers.references", "references must be a list or a string", _kind(refs))),
-        _when(_kind(files) != "ARRAY", _issue("attachments.type", "attachments", "attachments must be a list", _kind(files))),
-        _each(files, lambda x: F.coalesce(_kind(x) != "OBJECT", F.lit(True)), lambda x, i: _issue("attachments.value", name("attachments", i), "an attachment must be an object", F.to_json(x))),
-        _each(files, lambda x: F.coalesce((_kind(x) == "OBJECT") & ~_kind(_at(x, "$.size")).isin("BIGINT", "BOOLEAN"), F.lit(False)), lambda x, i: _issue("attachments.size", name("attachments", i, ".size"), "a size must be an integer", F.to_json(_at(x, "$.size")))),
+        _when((kind_of(refs) == "STRING") & ~_filled(refs), _issue("headers.references.value", "headers.references", "references must be non-empty", _text(refs))),
+        _when(~kind_of(refs).isin("ARRAY", "STRING"), _issue("headers.references.type", "headers.references", "references must be a list or a string", kind_of(refs))),
+        _when(kind_of(files) != "ARRAY", _issue("attachments.type", "attachments", "attachments must be a list", kind_of(files))),
+        _each(files, lambda x: F.coalesce(kind_of(x) != "OBJECT", F.lit(True)), lambda x, i: _issue("attachments.value", name("attachments", i), "an attachment must be an object", F.to_json(x))),
+        _each(files, lambda x: F.coalesce((kind_of(x) == "OBJECT") & ~kind_of(_at(x, "$.size")).isin("BIGINT", "BOOLEAN"), F.lit(False)), lambda x, i: _issue("attachments.size", name("attachments", i, ".size"), "a size must be an integer", F.to_json(_at(x, "$.size")))),
     ]
     # Text blocks count up to the first good one: each bad one met before is an issue.
-    blocks = F.coalesce(F.when(_kind(content) == "ARRAY", F.try_variant_get(content, "$", "array<variant>")), F.array().cast("array<variant>"))
+    blocks = F.coalesce(F.when(kind_of(content) == "ARRAY", F.try_variant_get(content, "$", "array<variant>")), F.array().cast("array<variant>"))
     marked = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), b.alias("b"), F.coalesce(_text(_at(b, "$.type")) == "text", F.lit(False)).alias("text"), _filled(_at(b, "$.body")).alias("good")))
     texts = F.filter(marked, lambda m: m["text"])
     first_good = F.array_min(F.transform(F.filter(texts, lambda m: m["good"]), lambda m: m["i"]))
@@ -103,8 +103,8 @@ def issues(record: Column) -> Column:
         _when((F.size(blocks) > 0) & first_good.isNull() & ~has_files, _issue("content.text", "content", "content must have a text block")),
         _when((F.size(blocks) == 0) & ~has_files, _issue("content.empty", "content", "content must have a text block")),
     ]
-    whole = _when(F.lit(True), _issue("record.type", "record", "a record must be an object", _kind(record)))
-    return F.when(F.coalesce(_kind(record) == "OBJECT", F.lit(False)), F.concat(*out)).otherwise(whole)
+    whole = _when(F.lit(True), _issue("record.type", "record", "a record must be an object", kind_of(record)))
+    return F.when(F.coalesce(kind_of(record) == "OBJECT", F.lit(False)), F.concat(*out)).otherwise(whole)
 
 
 def validated(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -18,8 +18,10 @@ from letterloom.operators import joins
 from letterloom.operators.validate import validated
 from letterloom.plans.store import Store, embedding_meta
 from letterloom.schemas import CLEAN, columns
-from letterloom.sources.mailjson import iso_text, to_emails
+from letterloom.sources.mailjson import iso_text, record_of, to_emails
 
+#: Of a body so much is stored with its mail; chunks hold all of it.
+BODY_CHARS = 10_000
 STAGES = ("model", "split", "preprocess", "vectorize", "ingest")
 ALIASES = {"download": "model", "clean": "preprocess", "index": "preprocess"}
 
@@ -36,9 +38,10 @@ def stage_set(text: str | None) -> list[str]:
 
 
 def write_split(messages: DataFrame, path: str, years: list[int] | None = None) -> DataFrame:
-    """Messages into period= folders; returns the counts by period. A period spreads over several tasks."""
+    """Messages into period= folders; returns the counts by period. A period spreads over as many tasks as its
+    size asks for."""
     rows = messages if not years else messages.where(F.col("year").isin(years))
-    rows.repartition("period", F.pmod(F.xxhash64("mbox_file", "offset"), F.lit(8))).write.mode("overwrite").partitionBy("period").parquet(path)
+    rows.hint("rebalance", F.col("period")).write.mode("overwrite").partitionBy("period").parquet(path)
     return rows.groupBy("period").agg(F.count(F.lit(1)).alias("emails"), F.sum("length").alias("bytes"))
 
 
@@ -90,24 +93,39 @@ def preprocess(messages: DataFrame) -> Preprocessed:
 
 
 def find(index: DataFrame, email_id: str | None = None, message_id: str | None = None) -> DataFrame:
-    """The first index row by mailbox place that has the id; message ids also match in lower case."""
+    """The first index row by mailbox place that has the id; message ids also match in lower case, after exact ones."""
     if (email_id is None) == (message_id is None):
         raise ValueError("give exactly one of email_id and message_id")
     test = F.col("email_id") == email_id if email_id else (F.col("message_id") == message_id) | (F.col("message_id_lower") == message_id.lower())
-    return index.where(test).orderBy("mbox_file", "offset").limit(1)
+    exact = F.lit(True) if email_id else F.col("message_id") == message_id
+    return index.where(test).orderBy(F.desc(F.coalesce(exact, F.lit(False))), "mbox_file", "offset").limit(1)
+
+
+def build_index(messages: DataFrame) -> DataFrame:
+    """The byte index of raw messages alone: headers are parsed, bodies not."""
+    h, ident = F.col("h"), H.message_id(H.header(F.col("h"), "message-id"))
+    rows = messages.select("mbox_file", "offset", "length", H.headers_of("raw").alias("h"))
+    return rows.select(_index_id(h).alias("email_id"), ident.alias("message_id"), F.lower(ident).alias("message_id_lower"), "mbox_file", "offset", "length")
+
+
+def first_mails(mails: DataFrame, limit: int | None) -> DataFrame:
+    """The first mails by place in the mailboxes; all without a limit."""
+    return mails if limit is None else mails.orderBy("mbox_file", "mbox_offset", "email_id").limit(limit)
 
 
 def good_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of raw JSON lines: valid ones in the clean schema; the others with their issues."""
     checked = validated(lines)
-    good = checked.where(F.col("record").isNotNull() & (F.size("issues") == 0)).select(F.from_json("line", CLEAN).alias("r")).select("r.*")
+    good = checked.where(F.col("record").isNotNull() & (F.size("issues") == 0)).select(record_of(F.col("record")).alias("r")).select("r.*")
     bad = checked.where(F.col("record").isNull() | (F.size("issues") > 0))
     kind = F.when(F.col("record").isNull(), "json_decode").otherwise("validation")
     return good, bad.select(kind.alias("kind"), F.col("line").alias("raw"), "issues")
 
 
-def vectorize(mails: DataFrame, by: EmbeddingProvider, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(email_vectors, chunk_vectors) of mail rows: the subject's vector, and one for each chunk of the cleaned body."""
+def vectorize(mails: DataFrame, by: EmbeddingProvider, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(email_vectors, chunk_vectors) of mail rows, or the first of them: the subject's vector, and one for each chunk of the
+    cleaned body, the whole of it."""
+    mails = first_mails(mails, limit)
     subject = embedded(F.trim(F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")))), by)
     chunks = exploded(mails.select("email_id", X.clean_for_embedding(F.col("body_plain")).alias("body")), F.col("body"), size, overlap)
     counts = chunks.groupBy("email_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
@@ -115,11 +133,13 @@ def vectorize(mails: DataFrame, by: EmbeddingProvider, size: int = CHUNK_CHARS,
     return vectors, chunks.select("email_id", "chunk_index", embedded(F.col("chunk_text"), by).alias("chunk_vector"))
 
 
-def ingest(store: Store, records: DataFrame, by: EmbeddingProvider, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, skip_existing: bool = True, repair: bool = True) -> int:
-    """Stores clean records: mails and chunks with their vectors, those in the embedding tables where they are and fit,
-    fresh ones (repair) or an error where not. Running it twice stores nothing twice. Returns the mails stored."""
+def ingest(store: Store, records: DataFrame, by: EmbeddingProvider, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, skip_existing: bool = True, repair: bool = True, limit: int | None = None) -> int:
+    """Stores clean records, or the first of them: mails and chunks with their vectors, those in the embedding tables where
+    they are and fit, fresh ones (repair) or an error where not. Chunks are made of whole bodies; of a body itself BODY_CHARS
+    are stored. Running it twice stores nothing twice: chunks come first, those that are there passed over, and a mail is
+    stored once its chunks are. Returns the mails stored."""
     store.ensure_meta(embedding_meta(by, size, overlap))
-    mails = to_emails(records)
+    mails = first_mails(to_emails(records), limit)
     if skip_existing and store.exists("emails"):
         mails = joins.skip_existing(mails, store.read("emails"))
     mails = mails.persist(StorageLevel.MEMORY_AND_DISK)
@@ -137,8 +157,10 @@ def ingest(store: Store, records: DataFrame, by: EmbeddingProvider, size: int =
     rows = joins.with_subject_vectors(mails, have)
     parts = joins.with_chunk_vectors(chunks, have_chunks).select("*", F.col("chunk_vector").alias("body_vector"), F.concat("email_id", F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"))
     n = mails.count()
-    store.append(rows, "emails")
+    if skip_existing and store.exists("email_chunks"):
+        parts = joins.skip_existing(parts, store.read("email_chunks"), "chunk_id")
     store.append(parts.withColumn("chunk_text", F.left("chunk_text", F.lit(5000))), "email_chunks")
+    store.append(rows.withColumn("body_plain", F.left("body_plain", F.lit(BODY_CHARS))), "emails")
     mails.unpersist()
     return n
 

@@ -31,6 +31,7 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """The table; an empty one of its schema where it doesn't exist yet."""
+        self._restore(name)
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
@@ -39,7 +40,7 @@ class Store:
         rows = rows.select(*columns(SCHEMAS[name]))
         by = PARTITIONED.get(name)
         if by:
-            rows = rows.repartition(*by, F.pmod(F.xxhash64("email_id"), F.lit(8)))  # one month isn't one task
+            rows = rows.hint("rebalance", *[F.col(c) for c in by])  # tasks by size: a large month isn't one, a small one not many
         writer = rows.write.mode(mode)
         (writer.partitionBy(*by) if by else writer).parquet(path or self.path(name))
 
@@ -50,18 +51,40 @@ class Store:
         self._write(rows, name, "overwrite")
 
     def replace(self, rows: DataFrame, name: str) -> None:
-        """Overwrites a table with rows that may be read from it: written beside it first, then renamed."""
+        """Overwrites a table with rows that may be read from it: written beside it first, then the old one is renamed away
+        and the new one to its place. A stop at any point leaves one whole table: read() takes the old one back."""
         jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        new, old = jvm(self.path(f"_{name}_new")), jvm(self.path(name))
+        new, held, old = (jvm(self.path(n)) for n in (f"_{name}_new", name, f"_{name}_old"))
         self._write(rows, name, "overwrite", str(new))
         fs = new.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(old, True)
-        fs.rename(new, old)
+        if fs.exists(held):
+            fs.rename(held, old)
+        fs.rename(new, held)
+        fs.delete(old, True)
+
+    def _restore(self, name: str) -> None:
+        """Takes back a table whose replacement stopped between its two renames."""
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        held, old = jvm(self.path(name)), jvm(self.path(f"_{name}_old"))
+        fs = held.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(held) and fs.exists(old):
+            fs.rename(old, held)
 
     def upsert(self, rows: DataFrame, name: str, keys: list[str]) -> None:
-        """Rows in place of stored ones with equal keys; rows of this batch must be unique by them."""
+        """Rows in place of stored ones with equal keys; rows of this batch must be unique by them, and their vectors as long
+        as the store's."""
+        self.check_vectors(rows, name)
         self.replace(upsert(self.read(name), rows.select(*columns(SCHEMAS[name])), keys), name)
 
+    def check_vectors(self, rows: DataFrame, name: str) -> None:
+        """Raises where a vector isn't as long as the store's embedding_dimension (if it has one)."""
+        wanted = self.meta().get("embedding_dimension")
+        vectors = [c for c in ("subject_vector", "chunk_vector") if c in SCHEMAS[name] and c in rows.columns]
+        for c in vectors if wanted else []:
+            if not rows.where(F.col(c).isNotNull() & (F.size(c) != int(wanted))).isEmpty():
+                raise ValueError(f"{name}: a {c} isn't {wanted} long")
+
     def drop(self, name: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,12 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from letterloom.functions.embed import EmbeddingProvider
 from letterloom.plans.stages import ingest
 from letterloom.plans.store import Store
-from letterloom.schemas import CLEAN
-from letterloom.sources.mailjson import to_emails
+from letterloom.sources.mailjson import record_of, to_emails
 
 
 def clean_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
-    return spark.readStream.schema(CLEAN).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", "*.jsonl").json(folder)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", "*.jsonl").text(folder)
+    return lines.select(F.try_parse_json("value").alias("v")).where("v is not null").select(record_of(F.col("v")).alias("r")).select("r.*")
 
 
 def follow(spark: SparkSession, folder: str, store: Store, by: EmbeddingProvider, checkpoint: str) -> StreamingQuery:
