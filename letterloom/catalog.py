@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,12 @@ from letterloom.functions import headers as H
 from letterloom.functions import text as X
 from letterloom.functions.chunks import exploded
 from letterloom.functions.ids import email_id, hash16, thread_id
+from letterloom.functions.mime import body_of
 from letterloom.operators import dedupe, filters, fulltext, hybrid, joins, metrics, rules, stats, vectors
 from letterloom.operators.validate import summary, validated
 from letterloom.plans.query import STOP_WORDS, keyword_array
+from letterloom.plans.stages import preprocess
+from letterloom.sources.mbox import MONTHS, read_mbox, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,6 +644,86 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 
 
+# ---- Raw mail ---------------------------------------------------------------------------------------------------------
+
+
+def _raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and a raw message of every document: an envelope, an encoded and a folded header, and a body of nested parts:
+    the text in base64, the same as HTML for other readers, and an attachment; every fourth has HTML alone."""
+    n, text = F.col("doc_id"), F.col("text")
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (n % 12 + 1).cast("int"))
+    day, year = (n % 28 + 1).cast("string"), (F.lit(2000) + n % 25).cast("string")
+    encoded = F.translate(F.base64(F.encode(text, "utf-8")), "\r\n", "")
+    head = F.concat(
+        F.lit("From src@mail.example Mon "), month, F.lit(" "), F.lpad(day, 2, " "), F.lit(" 08:10:00 "), year, F.lit("\nFrom: \"Name, "), F.col("lang"), F.lit("\" <"), F.upper("source"),
+        F.lit("@Mail.example>\nTo: a@b.example, Bo <bo@B.example>\nDate: Mon, "), day, F.lit(" "), month, F.lit(" "), year, F.lit(" 08:10:00 +0100\nSubject: =?UTF-8?B?"), F.base64(F.encode(F.concat(F.lit("☃ "), n.cast("string")), "utf-8")),
+        F.lit("?=\n part\nMESSAGE-ID: <m"), n.cast("string"), F.lit("@mail.example>\nReferences: <r1>\n\t<r2>\nReferences: <r"), n.cast("string"), F.lit("> <r0>\nno colon here\n"),
+    )
+    html = F.concat(F.lit("<p>Number "), n.cast("string"), F.lit(" &amp; more</p><script>x()</script>"))
+    parts = F.concat(
+        F.lit("Content-Type: multipart/mixed; boundary=\"mix\"\n\npreamble\n--mix\nContent-Type: multipart/alternative; boundary=alt\n\n--alt\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"),
+        encoded, F.lit("\n--alt\nContent-Type: text/html\n\n"), html, F.lit("\n--alt--\n--mix\nContent-Type: application/pdf; name=\"f.pdf\"\nContent-Disposition: attachment; filename=\"f"), n.cast("string"),
+        F.lit(".pdf\"\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(F.col("source"), "utf-8")), F.lit("\n--mix--\n"),
+    )
+    alone = F.concat(F.lit("Content-Type: text/html; charset=utf-8\n\n"), html, F.lit("\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, F.when(n % 4 == 3, alone).otherwise(parts)), "utf-8").alias("raw"))
+
+
+_MONTH_SQL = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
+
+
+@query(r"""
+SELECT doc_id, 'Name, ' || lang AS from_name, lower(source) || '@mail.example' AS from_email, 'a@b.example,bo@b.example' AS recipients, '☃ ' || doc_id || ' part' AS subject,
+       printf('%04d-%02d-%02dT08:10:00+01:00', 2000 + doc_id % 25, doc_id % 12 + 1, doc_id % 28 + 1) AS date, 'm' || doc_id || '@mail.example' AS message_id, 'r' || doc_id || ' r0' AS reference_ids
+FROM documents
+""")
+def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("h")
+    rows = _raw_mail(spark, sf_dir).select("doc_id", H.headers_of("raw").alias("h"))
+    sender = H.address(H.header(h, "from"))
+    return rows.select(
+        "doc_id", sender["name"].alias("from_name"), sender["email"].alias("from_email"), F.array_join(F.transform(H.address_list(H.header(h, "to")), lambda a: a["email"]), ",").alias("recipients"),
+        H.header(h, "subject").alias("subject"), H.header(h, "date").alias("date"), H.message_id(H.header(h, "message-id")).alias("message_id"), F.array_join(H.reference_list(H.header(h, "references")), " ").alias("reference_ids"),
+    )
+
+
+@query(rf"""
+SELECT doc_id, CASE WHEN doc_id % 4 <> 3 AND t <> '' THEN t END AS plain, CASE WHEN doc_id % 4 = 3 THEN '<p>Number ' || doc_id || ' &amp; more</p><script>x()</script>' || chr(10) WHEN t = '' THEN '<p>Number ' || doc_id || ' &amp; more</p><script>x()</script>' || chr(10) END AS html,
+       CASE WHEN doc_id % 4 <> 3 THEN 'f' || doc_id || '.pdf application/pdf ' || strlen(source) ELSE '' END AS attachments
+FROM (SELECT *, {_strip("text")} AS t FROM documents)
+""")
+def mime_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _raw_mail(spark, sf_dir).select("doc_id", body_of("raw").alias("b"))
+    files = F.transform("b.attachments", lambda f: F.concat_ws(" ", f["filename"], f["content_type"], f["size"].cast("string")))
+    return rows.select("doc_id", F.col("b.plain").alias("plain"), F.col("b.html").alias("html"), F.array_join(files, ",").alias("attachments"))
+
+
+@query(r"""
+SELECT printf('%04d-%02d', 2000 + doc_id % 25, doc_id % 12 + 1) AS period, count(*) AS emails, count(DISTINCT doc_id) AS ids, min(doc_id) AS lowest, max(doc_id) AS highest
+FROM documents GROUP BY 1
+""")
+def mbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mailboxes of all documents' messages, written by many tasks, scanned in byte ranges that cut messages and lines."""
+    folder = f"{scratch_folder(spark)}/mbox-{uuid.uuid4().hex}"
+    _raw_mail(spark, sf_dir).select(F.concat(F.decode("raw", "utf-8"), F.lit("\n")).alias("value")).write.text(folder)
+    rows = read_mbox(spark, f"{folder}/part-*", split_bytes=100_000).select("period", H.message_id(H.header(H.headers_of("raw"), "message-id")).alias("id"))
+    number = F.regexp_extract("id", "^m([0-9]+)@", 1).cast("long")
+    return rows.groupBy("period").agg(F.count(F.lit(1)).alias("emails"), F.count_distinct(number).alias("ids"), F.min(number).alias("lowest"), F.max(number).alias("highest"))
+
+
+@query(rf"""
+SELECT CASE WHEN doc_id % 4 = 3 OR t = '' THEN 'html' ELSE 'plain' END AS kind, count(*) AS n, count(*) FILTER (doc_id % 4 <> 3) AS with_file,
+       count(DISTINCT printf('%04d-%02d', 2000 + doc_id % 25, doc_id % 12 + 1)) AS months
+FROM (SELECT doc_id, {_strip("text")} AS t FROM documents) GROUP BY 1
+""")
+def preprocess_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole step from raw messages to clean records, counted by what their bodies came from."""
+    place = _raw_mail(spark, sf_dir).select("raw", F.lit("m").alias("mbox_file"), F.col("doc_id").alias("offset"), F.lit(1).cast("long").alias("length"))
+    clean = preprocess(place, keep=False).clean
+    kind = F.when(F.col("content")[0]["body"].startswith("Number "), "html").otherwise("plain")
+    return clean.select(kind.alias("kind"), F.size(F.coalesce("attachments", F.array())).alias("files"), F.substring("headers.date", 1, 7).alias("month")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("files") > 0).alias("with_file"), F.count_distinct("month").alias("months"))
+
+
 # ---- Validation and questions -----------------------------------------------------------------------------------------
 
 

@@ -58,10 +58,11 @@ def _index_id(h: Column) -> Column:
     return email_id(H.message_id(H.header(h, "message-id")), F.coalesce(sender, F.lit("")), iso_text(H.header(h, "date")), F.coalesce(H.header(h, "subject"), F.lit("")))
 
 
-def preprocess(messages: DataFrame) -> Preprocessed:
+def preprocess(messages: DataFrame, keep: bool = True) -> Preprocessed:
     """Clean records, spam rows and the byte index of raw messages. Headers are parsed once; bodies only of mail that
-    isn't spam, for the spam test stands between the two Python steps."""
-    parsed = messages.select("mbox_file", "offset", "length", "raw", H.headers_of("raw").alias("h")).withColumn("reason", H.spam_reason(F.col("h"))).persist(StorageLevel.MEMORY_AND_DISK)
+    isn't spam, for the spam test stands between the two Python steps. keep caches the parsed rows for several outputs."""
+    parsed = messages.select("mbox_file", "offset", "length", "raw", H.headers_of("raw").alias("h")).withColumn("reason", H.spam_reason(F.col("h")))
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK) if keep else parsed
     h = F.col("h")
 
     def get(name: str) -> Column:

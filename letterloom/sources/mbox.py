@@ -7,9 +7,11 @@ envelope. Paths with a scheme are opened through pyarrow's file systems.
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import os
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,9 +65,13 @@ def files_of(path: str) -> list[tuple[str, int]]:
         else:
             found = glob.glob(inner)
         return [(p, os.path.getsize(p)) for p in sorted(found)]
+    scheme = path.split("://")[0]
+    if "*" in inner:
+        folder = inner.rpartition("/")[0]
+        listed = system.get_file_info(fs.FileSelector(folder))
+        return sorted((f"{scheme}://{i.path.lstrip('/')}", i.size) for i in listed if i.type == fs.FileType.File and fnmatch.fnmatch(i.path, f"*{inner.removeprefix(folder)}"))
     info = system.get_file_info(inner)
     rows = system.get_file_info(fs.FileSelector(inner, recursive=True)) if info.type == fs.FileType.Directory else [info]
-    scheme = path.split("://")[0]
     return sorted((f"{scheme}://{i.path.lstrip('/')}", i.size) for i in rows if i.type == fs.FileType.File and (i.path.endswith(".mbox") or len(rows) == 1))
 
 
@@ -140,6 +146,12 @@ class MboxDataSource(DataSource):
         return MboxReader(self.options)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, in local mode alone."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="letterloom-")
 
 
 def read_mbox(spark: SparkSession, path: str, start_offset: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
