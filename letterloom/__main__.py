@@ -72,6 +72,9 @@ def run_pipeline(spark, mboxes: list[str], workspace: Workspace, s: Settings, wa
                     store.create(ready.read(name), name)
                 bad.write.mode("overwrite").json(workspace.path("logs", "errors"))
                 details = {"stored": stages.ingest(store, good, by, s.chunk_size, s.chunk_overlap, limit=limit)}
+                if details["stored"] >= s.compact_every:
+                    for name in ("emails", "email_chunks"):
+                        store.compact(name)
                 store.index_fulltext()
         except KeyboardInterrupt:
             workspace.update(stage, "interrupted")

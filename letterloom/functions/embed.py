@@ -1,4 +1,4 @@
-"""Embedding providers: a protocol, and an offline one that hashes words."""
+"""Embedding providers: a protocol, an offline one that hashes words, and an optional one for sentence models."""
 
 from __future__ import annotations
 
@@ -49,7 +49,39 @@ class HashingProvider:
         return self.encode([text])[0]
 
 
-PROVIDERS = {"hashing": HashingProvider}
+class SentenceProvider:
+    """A sentence-transformers model, by name or alias and at a pinned revision. The library is optional and loaded where
+    texts are encoded: only name and revision travel to the workers. Query and document prefixes serve models trained with them."""
+
+    ALIASES = {"small": "sentence-transformers/all-MiniLM-L6-v2", "large": "sentence-transformers/all-mpnet-base-v2"}
+
+    def __init__(self, dimension: int = DIMENSION, model: str = "large", revision: str = "main", query_prefix: str = "", document_prefix: str = ""):
+        self.dimension, self.model, self.revision = dimension, self.ALIASES.get(model, model), revision
+        self.query_prefix, self.document_prefix, self._loaded = query_prefix, document_prefix, None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_loaded": None}
+
+    def _vectors(self, texts: Sequence[str]) -> np.ndarray:
+        if self._loaded is None:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as missing:
+                raise RuntimeError("the sentence provider needs the sentence-transformers package") from missing
+            self._loaded = SentenceTransformer(self.model, revision=self.revision)
+        out = np.asarray(self._loaded.encode(list(texts), normalize_embeddings=True), np.float32)
+        if out.shape[1] != self.dimension:
+            raise ValueError(f"{self.model} gives {out.shape[1]} dimensions, not {self.dimension}")
+        return out
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        return self._vectors([self.document_prefix + (t or "") for t in texts])
+
+    def encode_query(self, text: str) -> np.ndarray:
+        return self._vectors([self.query_prefix + text])[0]
+
+
+PROVIDERS = {"hashing": HashingProvider, "sentence": SentenceProvider}
 
 
 def provider(name: str = "hashing", **options) -> EmbeddingProvider:

@@ -38,9 +38,9 @@ def _when(test: Column, issue: Column) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.array(issue)).otherwise(none)
 
 
-def _each(list_: Column, bad, issue) -> Column:
+def _each(list_: Column, kind: Column, bad, issue) -> Column:
     """Issues of the items of an array VARIANT (none for anything else)."""
-    items = F.when(kind_of(list_) == "ARRAY", F.try_variant_get(list_, "$", "array<variant>"))
+    items = F.when(kind == "ARRAY", F.try_variant_get(list_, "$", "array<variant>"))
     numbered = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     return F.transform(F.filter(numbered, lambda e: bad(e["x"])), lambda e: issue(e["x"], e["i"]))
 
@@ -57,43 +57,52 @@ def _is_date(v: Column) -> Column:
     return F.coalesce((kind_of(v) == "STRING") & (iso | rfc), F.lit(False))
 
 
-def issues(record: Column) -> Column:
-    """array<struct<code, field, message, value>> of a VARIANT record, in the order of the record's parts."""
-    headers = F.when(kind_of(_at(record, "$.headers")) == "OBJECT", _at(record, "$.headers"))
-    content, tags, files = _at(record, "$.content"), _at(record, "$.tags"), _at(record, "$.attachments")
+#: The parts of a record, and of its headers, that the rules look at; each is taken out, and its kind found, once.
+_TOP, _HEAD = ("headers", "content", "tags", "attachments"), ("from", "to", "cc", "bcc", "date", "references")
 
-    def h(name: str) -> Column:
-        return _at(headers, f"$.{name}")
+
+def _issues() -> Column:
+    """array<struct<code, field, message, value>> from the part columns of validated(), in the order of the record's parts."""
+
+    def part(n: str) -> Column:
+        return F.col(f"_parts.{n}")
+
+    def kind(n: str) -> Column:
+        return F.col(f"_kinds.{n}")
+
+    def h(n: str) -> Column:
+        return F.col(f"_head.`{n}`")
+
+    def h_kind(n: str) -> Column:
+        return F.col(f"_head_kinds.`{n}`")
+
+    content, tags, files, refs = part("content"), part("tags"), part("attachments"), h("references")
 
     def name(field: str, i: Column, tail: str = "") -> Column:
         return F.concat(F.lit(f"{field}["), i.cast("string"), F.lit(f"]{tail}"))
 
-    def variant_size(v: Column) -> Column:
-        return F.coalesce(F.when(kind_of(v) == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>"))), F.lit(0))
-
-    has_files = variant_size(files) > 0
-    refs = h("references")
+    has_files = F.coalesce(F.when(kind("attachments") == "ARRAY", F.size(F.try_variant_get(files, "$", "array<variant>"))), F.lit(0)) > 0
     out = [
-        _when(F.coalesce(kind_of(_at(record, "$.headers")) != "OBJECT", F.lit(True)), _issue("headers.type", "headers", "headers must be an object", kind_of(_at(record, "$.headers")))),
-        _when(F.coalesce(kind_of(content) != "ARRAY", F.lit(True)), _issue("content.type", "content", "content must be a list", kind_of(content))),
-        _when(kind_of(tags) != "ARRAY", _issue("tags.type", "tags", "tags must be a list of strings", kind_of(tags))),
-        _each(tags, lambda x: ~_filled(x), lambda x, i: _issue("tags.value", name("tags", i), "a tag must be a non-empty string", F.to_json(x))),
-        _when(kind_of(h("from")).isNotNull() & ~_has_address(h("from")), _issue("headers.from.email", "headers.from", "the sender must have an address", F.to_json(h("from")))),
+        _when(F.coalesce(kind("headers") != "OBJECT", F.lit(True)), _issue("headers.type", "headers", "headers must be an object", kind("headers"))),
+        _when(F.coalesce(kind("content") != "ARRAY", F.lit(True)), _issue("content.type", "content", "content must be a list", kind("content"))),
+        _when(kind("tags") != "ARRAY", _issue("tags.type", "tags", "tags must be a list of strings", kind("tags"))),
+        _each(tags, kind("tags"), lambda x: ~_filled(x), lambda x, i: _issue("tags.value", name("tags", i), "a tag must be a non-empty string", F.to_json(x))),
+        _when(h_kind("from").isNotNull() & ~_has_address(h("from")), _issue("headers.from.email", "headers.from", "the sender must have an address", F.to_json(h("from")))),
     ]
     for field in ("to", "cc", "bcc"):
-        out.append(_when(kind_of(h(field)) != "ARRAY", _issue(f"headers.{field}.type", f"headers.{field}", f"{field} must be a list", kind_of(h(field)))))
-        out.append(_each(h(field), lambda x: ~_has_address(x), lambda x, i, field=field: _issue(f"headers.{field}.email", name(f"headers.{field}", i), "an entry must have an address", F.to_json(x))))
+        out.append(_when(h_kind(field) != "ARRAY", _issue(f"headers.{field}.type", f"headers.{field}", f"{field} must be a list", h_kind(field))))
+        out.append(_each(h(field), h_kind(field), lambda x: ~_has_address(x), lambda x, i, field=field: _issue(f"headers.{field}.email", name(f"headers.{field}", i), "an entry must have an address", F.to_json(x))))
     out += [
-        _when(kind_of(h("date")).isNotNull() & ~_is_date(h("date")), _issue("headers.date", "headers.date", "the date must be ISO 8601 or RFC 2822", _text(h("date")))),
-        _each(refs, lambda x: ~_filled(x), lambda x, i: _issue("headers.references.value", name("headers.references", i), "a reference must be a non-empty string", F.to_json(x))),
-        _when((kind_of(refs) == "STRING") & ~_filled(refs), _issue("headers.references.value", "headers.references", "references must be non-empty", _text(refs))),
-        _when(~kind_of(refs).isin("ARRAY", "STRING"), _issue("headers.references.type", "headers.references", "references must be a list or a string", kind_of(refs))),
-        _when(kind_of(files) != "ARRAY", _issue("attachments.type", "attachments", "attachments must be a list", kind_of(files))),
-        _each(files, lambda x: F.coalesce(kind_of(x) != "OBJECT", F.lit(True)), lambda x, i: _issue("attachments.value", name("attachments", i), "an attachment must be an object", F.to_json(x))),
-        _each(files, lambda x: F.coalesce((kind_of(x) == "OBJECT") & ~kind_of(_at(x, "$.size")).isin("BIGINT", "BOOLEAN"), F.lit(False)), lambda x, i: _issue("attachments.size", name("attachments", i, ".size"), "a size must be an integer", F.to_json(_at(x, "$.size")))),
+        _when(h_kind("date").isNotNull() & ~_is_date(h("date")), _issue("headers.date", "headers.date", "the date must be ISO 8601 or RFC 2822", _text(h("date")))),
+        _each(refs, h_kind("references"), lambda x: ~_filled(x), lambda x, i: _issue("headers.references.value", name("headers.references", i), "a reference must be a non-empty string", F.to_json(x))),
+        _when((h_kind("references") == "STRING") & ~_filled(refs), _issue("headers.references.value", "headers.references", "references must be non-empty", _text(refs))),
+        _when(~h_kind("references").isin("ARRAY", "STRING"), _issue("headers.references.type", "headers.references", "references must be a list or a string", h_kind("references"))),
+        _when(kind("attachments") != "ARRAY", _issue("attachments.type", "attachments", "attachments must be a list", kind("attachments"))),
+        _each(files, kind("attachments"), lambda x: F.coalesce(kind_of(x) != "OBJECT", F.lit(True)), lambda x, i: _issue("attachments.value", name("attachments", i), "an attachment must be an object", F.to_json(x))),
+        _each(files, kind("attachments"), lambda x: F.coalesce((kind_of(x) == "OBJECT") & ~kind_of(_at(x, "$.size")).isin("BIGINT", "BOOLEAN"), F.lit(False)), lambda x, i: _issue("attachments.size", name("attachments", i, ".size"), "a size must be an integer", F.to_json(_at(x, "$.size")))),
     ]
     # Text blocks count up to the first good one: each bad one met before is an issue.
-    blocks = F.coalesce(F.when(kind_of(content) == "ARRAY", F.try_variant_get(content, "$", "array<variant>")), F.array().cast("array<variant>"))
+    blocks = F.coalesce(F.when(kind("content") == "ARRAY", F.try_variant_get(content, "$", "array<variant>")), F.array().cast("array<variant>"))
     marked = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), b.alias("b"), F.coalesce(_text(_at(b, "$.type")) == "text", F.lit(False)).alias("text"), _filled(_at(b, "$.body")).alias("good")))
     texts = F.filter(marked, lambda m: m["text"])
     first_good = F.array_min(F.transform(F.filter(texts, lambda m: m["good"]), lambda m: m["i"]))
@@ -103,13 +112,20 @@ def issues(record: Column) -> Column:
         _when((F.size(blocks) > 0) & first_good.isNull() & ~has_files, _issue("content.text", "content", "content must have a text block")),
         _when((F.size(blocks) == 0) & ~has_files, _issue("content.empty", "content", "content must have a text block")),
     ]
-    whole = _when(F.lit(True), _issue("record.type", "record", "a record must be an object", kind_of(record)))
-    return F.when(F.coalesce(kind_of(record) == "OBJECT", F.lit(False)), F.concat(*out)).otherwise(whole)
+    whole = _when(F.lit(True), _issue("record.type", "record", "a record must be an object", F.col("_parts.kind")))
+    return F.when(F.coalesce(F.col("_parts.kind") == "OBJECT", F.lit(False)), F.concat(*out)).otherwise(whole)
 
 
 def validated(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with record (VARIANT, null where no JSON) and issues."""
-    return lines.withColumn("record", F.try_parse_json(line)).withColumn("issues", F.when(F.col("record").isNotNull(), issues(F.col("record"))))
+    record = F.col("record")
+    out = lines.withColumn("record", F.try_parse_json(line))
+    out = out.withColumn("_parts", F.struct(kind_of(record).alias("kind"), *[_at(record, f"$.{n}").alias(n) for n in _TOP]))
+    out = out.withColumn("_kinds", F.struct(*[kind_of(F.col(f"_parts.{n}")).alias(n) for n in _TOP]))
+    headers = F.when(F.col("_kinds.headers") == "OBJECT", F.col("_parts.headers"))
+    out = out.withColumn("_head", F.struct(*[_at(headers, f"$.{n}").alias(n) for n in _HEAD]))
+    out = out.withColumn("_head_kinds", F.struct(*[kind_of(F.col(f"_head.`{n}`")).alias(n) for n in _HEAD]))
+    return out.withColumn("issues", F.when(record.isNotNull(), _issues())).drop("_parts", "_kinds", "_head", "_head_kinds")
 
 
 def summary(checked: DataFrame) -> DataFrame:

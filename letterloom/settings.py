@@ -1,4 +1,4 @@
-"""Settings with their defaults; environment variables LETTERLOOM_<NAME> take precedence."""
+"""Settings with their defaults; LETTERLOOM_<NAME> of a .env file goes before these, of the environment before both."""
 
 from __future__ import annotations
 
@@ -15,12 +15,18 @@ class Settings:
     chunk_overlap: int = 200
     top_k: int = 20
     rrf_k: int = 60
+    #: An ingest of so many mails or more rewrites the mail tables into few files.
     compact_every: int = 20000
 
     @staticmethod
-    def load() -> Settings:
-        out = Settings()
+    def load(env_file: str = ".env") -> Settings:
+        out, given = Settings(), {}
+        if os.path.isfile(env_file):
+            with open(env_file, encoding="utf-8") as f:
+                pairs = (line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#"))
+                given = {key.strip(): value.strip().strip("\"'") for key, _, value in pairs}
+        given |= os.environ
         for f in fields(out):
-            if (given := os.environ.get(f"LETTERLOOM_{f.name.upper()}")) is not None:
-                setattr(out, f.name, type(getattr(out, f.name))(given))
+            if (value := given.get(f"LETTERLOOM_{f.name.upper()}")) is not None:
+                setattr(out, f.name, type(getattr(out, f.name))(value))
         return out

@@ -342,6 +342,56 @@ def test_lookup_prefers_the_exact_id(spark):
     assert stages.find(index, message_id="A@B").first()["email_id"] == "e2" and stages.find(index, message_id="a@B").first()["email_id"] == "e1"
 
 
+def test_made_mailboxes(spark, tmp_path):
+    from letterloom.sources.generate import made_mail, write_mailboxes
+
+    mail = made_mail(spark, 300, 3)
+    made = stages.preprocess(read_mbox(spark, write_mailboxes(mail, str(tmp_path / "made")), split_bytes=5000))
+    kinds = {r["kind"]: r["count"] for r in mail.groupBy("kind").count().collect()}
+    assert made.parsed.count() == 300 and made.spam.count() == kinds["spam"] and made.clean.count() == 300 - kinds["spam"]
+    mails = stages.to_emails(made.clean)
+    assert mails.where("has_attachment").count() == kinds["mixed"] and mails.where("message_id = ''").count() > 40
+    assert mails.where("subject like 'Re: %'").select("thread_id").distinct().count() == 7
+    assert mails.where(~F.col("body_plain").startswith("About the ")).count() == 0 and mails.where(F.col("body_plain").contains("From here on")).count() > 10
+    made.parsed.unpersist()
+
+
+def test_settings_of_a_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# comment\nLETTERLOOM_TOP_K=7\nexport LETTERLOOM_DB_PATH='x y'\nOTHER=1\nLETTERLOOM_RRF_K=1\n")
+    monkeypatch.setenv("LETTERLOOM_RRF_K", "9")
+    found = Settings.load(str(tmp_path / ".env"))
+    assert (found.top_k, found.db_path, found.rrf_k, found.chunk_size) == (7, "x y", 9, 1200)
+
+
+def test_sentence_provider(monkeypatch):
+    import pickle
+    import sys
+    import types
+
+    import numpy as np
+
+    from letterloom.functions.embed import provider
+
+    by = provider("sentence", dimension=3, model="small", revision="r1", query_prefix="q: ")
+    assert (by.model, by.revision) == ("sentence-transformers/all-MiniLM-L6-v2", "r1")
+    monkeypatch.setitem(sys.modules, "sentence_transformers", None)
+    with pytest.raises(RuntimeError, match="sentence-transformers"):
+        by.encode(["a"])
+
+    class Model:
+        def __init__(self, name, revision):
+            self.given = name, revision
+
+        def encode(self, texts, normalize_embeddings):
+            return np.array([[len(t), 0, 1] for t in texts])
+
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Model))
+    assert by.encode(["ab", None]).tolist() == [[2, 0, 1], [0, 0, 1]] and by.encode_query("a").tolist() == [4, 0, 1]
+    assert pickle.loads(pickle.dumps(by))._loaded is None
+    with pytest.raises(ValueError, match="dimensions"):
+        provider("sentence", dimension=4).encode(["a"])
+
+
 def test_commands(spark, mailbox, tmp_path, capsys):
     assert main(["index", mailbox, "--output", str(tmp_path / "i")]) == 0 and spark.read.parquet(str(tmp_path / "i")).count() == 4
     assert main(["split", mailbox, "--output", str(tmp_path / "s"), "--years", "2024", "2005"]) == 0
