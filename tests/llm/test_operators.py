@@ -20,6 +20,14 @@ def documents(sf_dir):
     return pd.read_parquet(f"{sf_dir}/documents.parquet")
 
 
+THOUSAND = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def thousand():
+    return pd.read_parquet(f"{THOUSAND}/documents.parquet")
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Null ids and texts, empties, repeats, a long text, and columns with the names that operators use."""
@@ -64,8 +72,9 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash_equals_brute_force(spark, sf_dir, documents):
-    found = simhash.op1_simhash_near_dedup(spark, sf_dir).toPandas().set_index("doc_id")
+def test_simhash_equals_brute_force(spark, thousand):
+    documents = thousand
+    found = simhash.op1_simhash_near_dedup(spark, THOUSAND).toPandas().set_index("doc_id")
     fps = np.array([slow_fingerprint(t) for t in documents.text], np.uint64)
     ids = documents.doc_id.tolist()
     assert [found.fingerprint[i] for i in ids] == [format(int(f), "016x") for f in fps]
@@ -360,9 +369,9 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
 
 
-def test_tokens_equal_library(spark, sf_dir, documents, library):
-    found = tokens.op5_token_counts(spark, sf_dir).toPandas().set_index("doc_id")
-    for i, text in zip(documents.doc_id, documents.text):
+def test_tokens_equal_library(spark, thousand, library):
+    found = tokens.op5_token_counts(spark, THOUSAND).toPandas().set_index("doc_id")
+    for i, text in zip(thousand.doc_id, thousand.text):
         n = len(library.encode(text))
         assert (found.n_tokens[i], found.n_bytes[i], found.over_limit[i]) == (n, len(text.encode()), n > 4096)
 
