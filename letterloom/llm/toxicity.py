@@ -89,9 +89,22 @@ def select(documents: Sequence[set[str]], y: np.ndarray) -> tuple[list[str], set
 
 def template_sentences(texts: Iterable[str], most: int = SENTENCES) -> list[set[str]]:
     """Words, identity terms left out, of labelled sentences: those that name a term first, in an order given by a hash."""
-    held = {s: words_of(s) for text in texts for s in _SENTENCE.split(text)}
-    ranked = sorted((not (words & _IDENTITY), zlib.crc32(s.encode("utf-8", "replace")), s) for s, words in held.items() if words)
-    return [held[s] - _IDENTITY for _, _, s in ranked[:most]]
+    best: dict[str, tuple[bool, int]] = {}
+    bound = (True, 1 << 32)
+
+    def first() -> list[tuple[str, tuple[bool, int]]]:
+        return sorted(best.items(), key=lambda x: (x[1], x[0]))[:most]
+
+    for text in texts:
+        for s in _SENTENCE.split(text):
+            if s not in best and (words := words_of(s)):
+                key = (not (words & _IDENTITY), zlib.crc32(s.encode("utf-8", "replace")))
+                if key <= bound:
+                    best[s] = key
+        if len(best) > 4 * most:  # few are held, however many the texts have
+            best = dict(first())
+            bound = max(best.values())
+    return [words_of(s) - _IDENTITY for s, _ in first()]
 
 
 class Counterfactuals:
@@ -153,7 +166,9 @@ def fit_texts(texts: Sequence[str], y: Sequence[int], weight: Sequence[float], c
     y, weight = np.asarray(y, np.float64), np.asarray(weight, np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel([], np.zeros(0), 0.0 if not len(y) else 4.0 if y[0] else -4.0)
-    documents = [features_of(words_of(t)) for t in texts]
+    held: dict[str, str] = {}  # one string for each feature, whatever number of texts have it
+    documents = [{held.setdefault(f, f) for f in features_of(words_of(t))} for t in texts]
+    del held
     names, sure = select(documents, y)
     names += [t for t in IDENTITY_TERMS if t not in set(names)]
     number = {f: i for i, f in enumerate(names)}
