@@ -145,3 +145,66 @@ def test_near_duplicate_stage_odd(spark):
     found = sorted(((r.doc_id or 0), r.text or "") for r in neardup.keep_one_similar(docs).collect())
     assert found == [(0, "else"), (1, ""), (4, "One two"), (6, "one two three")]
     assert neardup.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_near_duplicate_candidates_are_fingerprints(spark):
+    """Links come of fingerprints alone: those that share a byte and lie within the radius, all pairs compared; none similar is lost."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 2, 3, 4, 4, 5, 8, 30, 30, 200, 900)]
+    for base in sets[4:]:
+        for lost in (len(base) // 10, len(base) // 9, len(base) // 6, len(base) // 2):
+            fresh = rng.integers(0, 1 << 63, max(1, lost), dtype=np.uint64)
+            sets += [np.union1d(base[lost:], fresh[: lost or 1]), np.union1d(base, fresh)]
+    words = neardup.words_of(0.8)
+    fps = [neardup.fingerprint(s, words) for s in sets]
+    bits = [np.unpackbits(np.frombuffer(f, np.uint8)) for f in fps]
+    half, full = neardup.radius_of(0.8, 128), neardup.radius_of(0.8, 256)
+    near = {f[:32]: f[:32] for f in fps}
+    similar = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            fits = min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))
+            shared = any(x == y for x, y in zip(fps[i], fps[j]))
+            linked = fits and shared and (bits[i] != bits[j])[:128].sum() <= half and (bits[i] != bits[j])[:256].sum() <= full
+            if neardup.similarity(sets[i], sets[j]) >= 0.8:
+                similar += 1
+                assert linked
+            if linked:
+                a, b = near[fps[i][:32]], near[fps[j][:32]]
+                near = {k: min(a, b) if v in (a, b) else v for k, v in near.items()}
+    assert similar > 20 and len(set(near.values())) > 5
+    nodes = spark.createDataFrame([(bytearray(f), len(s)) for f, s in zip(fps, sets)], "fp binary, n int").repartition(3)
+    for rows in (4, 1 << 16):  # with buckets cut into shards and without
+        stars = neardup.connected_components(neardup.near_fingerprints(nodes, tile_rows=rows)).collect()
+        assert {bytes(r.node): bytes(r.root) for r in stars} == {k: v for k, v in near.items() if list(near.values()).count(v) > 1}
+
+
+def test_near_duplicate_fingerprint():
+    """Bits by plain counting, and the chance that one differs at a similarity of 0.8: 3/16 for four hashes against five, the largest."""
+    rng = np.random.default_rng(6)
+    words, mask = 2, (1 << 64) - 1
+    for n in (1, 2, 3, 4, 300):
+        hashes = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        want = b""
+        for w in range(1, words + 1):
+            mixed = []
+            for h in hashes.tolist():
+                z = (h + w * 0x9E3779B97F4A7C15) & mask
+                z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+                z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+                mixed.append("".join(f"{b:08b}" for b in (z ^ (z >> 31)).to_bytes(8, "little")))
+            ones = [sum(m[b] == "1" for m in mixed) for b in range(64)]
+            bits = "".join(mixed[0][b] if 2 * c == n else str(int(2 * c > n)) for b, c in enumerate(ones))
+            want += int(bits, 2).to_bytes(8, "big")
+        assert neardup.fingerprint(hashes, words) == want
+    assert neardup.fingerprint(np.empty(0, np.uint64), words) == bytes(16)
+    bits = 64 * neardup.words_of(0.8)
+    assert abs(neardup.apart(0.8) - 3 / 16) < 1e-12 and bits == 640
+    for both, a, b in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (12, 0, 3), (40, 5, 5), (200, 25, 25)):
+        differ = []
+        for _ in range(200):
+            hashes = rng.integers(0, 1 << 63, both + a + b, dtype=np.uint64)
+            x, y = (np.frombuffer(neardup.fingerprint(np.sort(h), bits // 64), np.uint8) for h in (hashes[: both + a], np.delete(hashes, np.s_[both : both + a])))
+            assert (x == y).any()
+            differ.append(np.bitwise_count(x ^ y).sum() / bits)
+        assert np.mean(differ) < neardup.apart(0.8) + 0.004, (both, a, b)
