@@ -104,21 +104,26 @@ def _line(*patterns: str) -> str:
 
 
 _RULES = _line(rf"(?:[_-]{{3,}}|--|—){_BLANKS}*$")
-_CLOSERS = _line(*CLOSERS)
+_CLOSERS = _line(*(c.replace("k", r"[k\u212A]").replace("i", r"[i\u0130]") for c in CLOSERS))  # their lower case is ASCII
 _REPLIES = _line(*(m.replace(r"\s*$", "$").replace("$", f"{_BLANKS}*$") if m.endswith("$") else rf"From:\s+.*(?!{_BLANKS})." for m in REPLY_MARKS))
 _SIGNATURES = _line(rf"(?:--|__+){_BLANKS}*$", "sent from my")
 _FOOTERS = "(?i)" + "|".join(FOOTER_KEYWORDS)
 
 
 def remove_signature(body: Column) -> Column:
-    """Cut at a signature mark, or past four fifths of the lines at a closing phrase, if any text stands before."""
+    """Cut at a signature mark, or past four fifths of the lines at a closing phrase, if any text stands before; a text that
+    has neither stays as it is. All lines count, the empty one after a last line break too."""
 
-    def cut(parts: Column) -> Column:
+    def cut(parts: Column, text: Column) -> Column:
         late = F.size(parts) * 8
         first = F.array_min(_places(parts, lambda line, i: line.rlike(_RULES) | (((i - 1) * 10 > late) & line.rlike(_CLOSERS))))
-        return _cut_at(parts, first, body)
+        return _cut_at(parts, first, text)
+
+    def own(text: Column) -> Column:
+        kept = _bound(F.split(text, "\n"), lambda parts: cut(parts, text))
+        return _bound(kept, lambda k: F.when(k == text, text).otherwise(_bound(strip(k), lambda t: F.when(t == "", text).otherwise(t))))
 
-    return _bound(strip(_bound(lines(body), cut)), lambda text: F.when(text == "", body).otherwise(text))
+    return _bound(body, own)
 
 
 def strip_reply_chain(body: Column) -> Column:

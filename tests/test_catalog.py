@@ -59,3 +59,18 @@ def test_chunks_of_long_texts(spark, tmp_path):
 def test_every_stated_query_counts(name, spark):
     ids = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()} == ids and len(ids) > 10
+
+
+def test_signatures_of_odd_texts_equal_sql(spark, tmp_path):
+    """Texts without a signature keep the blanks at their ends, and an empty last line counts among the lines."""
+    import duckdb
+
+    ends = ["", "\n", "\n\n", " \n", "\r\n", " "]
+    tops = ["one\ntwo", "  one\n\ntwo", "\n\none", "\t\n", "a\nb\nc\nd\nBest regards", "a\nb\nc\nd\ne\nthanKs,", "a\nb\nc\nd\ne\nSİncerely, x", "a\nb\nc\nd\ne\nCheers, f\ng", "x\n -- ", "---\nx"]
+    texts = [a + b for a in tops for b in ends for _ in range(4)]  # each with every tail that the query adds
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = {(r.doc_id, r.body) for r in catalog.QUERIES["remove_signature"](spark, str(tmp_path)).collect()}
+    assert found == set(con.sql(catalog.ORACLES["remove_signature"]).fetchall())
+    assert (3, "one\ntwo") in found and (7, "one\ntwo\n") in found
