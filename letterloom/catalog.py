@@ -653,7 +653,7 @@ def _raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.col("doc_id"), F.col("text")
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (n % 12 + 1).cast("int"))
     day, year = (n % 28 + 1).cast("string"), (F.lit(2000) + n % 25).cast("string")
-    encoded = F.translate(F.base64(F.encode(text, "utf-8")), "\r\n", "")
+    encoded = F.replace(F.base64(F.encode(text, "utf-8")), F.lit("\r\n"), F.lit(""))
     head = F.concat(
         F.lit("From src@mail.example Mon "), month, F.lit(" "), F.lpad(day, 2, " "), F.lit(" 08:10:00 "), year, F.lit("\nFrom: \"Name, "), F.col("lang"), F.lit("\" <"), F.upper("source"),
         F.lit("@Mail.example>\nTo: a@b.example, Bo <bo@B.example>\nDate: Mon, "), day, F.lit(" "), month, F.lit(" "), year, F.lit(" 08:10:00 +0100\nSubject: =?UTF-8?B?"), F.base64(F.encode(F.concat(F.lit("☃ "), n.cast("string")), "utf-8")),

@@ -23,10 +23,14 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 _BLANKS = r"[ \t\n\x0B\f\r\u001C-\u001F\u0085   -     　]"
 
 
+#: The same characters as a string, and those that stand inside a line.
+_BLANK_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_INNER = _BLANKS.replace(r"\n", "")
+
+
 def strip(col: Column, which: str = "both") -> Column:
-    """Without white space at the ends, the non-ASCII kinds included."""
-    ends = {"both": rf"^{_BLANKS}+|{_BLANKS}+\z", "left": rf"^{_BLANKS}+", "right": rf"{_BLANKS}+\z"}
-    return F.regexp_replace(col, ends[which], "")
+    """Without white space at the ends, the non-ASCII kinds included; what lies between isn't looked at."""
+    return {"both": F.btrim, "left": F.ltrim, "right": F.rtrim}[which](col, F.lit(_BLANK_CHARS))
 
 
 def lines(col: Column) -> Column:
@@ -42,6 +46,16 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
+def _bare_ends(text: Column, blank: str) -> Column:
+    """Lines without blanks before their breaks; only a text with such a blank is searched run by run, each run once."""
+    return F.when(text.rlike(rf"\n(?<={blank}\n)"), F.regexp_replace(text, rf"(?={blank})(?<!{blank}){blank}++(?=\n)", "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Scripts and styles go (to the end of the text if unclosed), each tag is a line break, six entities are decoded."""
     out = html
@@ -58,28 +72,30 @@ def html_to_text(html: Column) -> Column:
 def normalize_body(body: Column) -> Column:
     """Line breaks as \\n, lines right-trimmed, quoted From lines restored, at most two blank lines in a row, trimmed."""
     out = F.regexp_replace(body, "\r\n?", "\n")
-    out = F.regexp_replace(out, r"(?m)[ \t\x0B\f\r ]+$", "")
-    out = F.regexp_replace(out, "(?m)^>From ", "From ")
+    out = F.regexp_replace(_bound(out, lambda text: _bare_ends(text, r"[ \t\x0B\f\r\u00A0]")), r">(?<![^\n]>)From ", "From ")
     return strip(F.regexp_replace(out, "\n{4,}", "\n\n\n"))
 
 
+#: What every boilerplate line holds.
+_BOILERPLATE = r"(?i)unsubscr[i\u0130]be|browser|trouble"
+
+
 def clean_text(body: Column) -> Column:
     """Invisible characters and the usual mailing boilerplate lines go; lines are trimmed; at most two blank lines stay."""
 
     def boilerplate(line: Column) -> Column:
-        low = F.lower(line)
+        low = F.lower(F.replace(line, F.lit("\u0130"), F.lit("i")))
         view = low.contains("browser") & any_of([low.contains(p) for p in ("view this email", "view in browser", "view this message")])
         trouble = low.contains("trouble") & any_of([low.contains(p) for p in ("viewing", "displaying", "reading")])
         return low.contains("unsubscribe") | view | trouble
 
-    kept = F.filter(lines(F.translate(body, INVISIBLE, "")), lambda line: ~boilerplate(line))
-    out = joined(F.transform(kept, lambda line: strip(line)))
-    return strip(F.regexp_replace(out, "\n{4,}", "\n\n\n"))
-
+    def kept(text: Column) -> Column:  # only a text that may have such a line is taken apart
+        return F.when(text.rlike(_BOILERPLATE), joined(F.filter(F.split(text, "\n"), lambda line: ~boilerplate(line)))).otherwise(text)
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+    seen = F.regexp_replace(body, rf"[[^\x00-\x7F]&&[{INVISIBLE}]]", "")
+    out = F.regexp_replace(_bound(seen, kept), rf"\n{_INNER}++", "\n")
+    out = _bound(out, lambda text: _bare_ends(text, _INNER))
+    return strip(F.regexp_replace(out, "\n{4,}", "\n\n\n"))
 
 
 def _head(parts: Column, n: Column) -> Column:
@@ -105,6 +121,8 @@ def _line(*patterns: str) -> str:
 
 _RULES = _line(rf"(?:[_-]{{3,}}|--|—){_BLANKS}*$")
 _CLOSERS = _line(*(c.replace("k", r"[k\u212A]").replace("i", r"[i\u0130]") for c in CLOSERS))  # their lower case is ASCII
+_CLOSER_LINE = _CLOSERS.replace("^", r"\n").replace(_BLANKS, _INNER)  # both in a text with a line break before it
+_FROM_RULE = rf"(?s)\n{_INNER}*+(?:[_-]{{3,}}+|--|—){_INNER}*+(?:\n.*+)?\z"
 _REPLIES = _line(*(m.replace(r"\s*$", "$").replace("$", f"{_BLANKS}*$") if m.endswith("$") else rf"From:\s+.*(?!{_BLANKS})." for m in REPLY_MARKS))
 _SIGNATURES = _line(rf"(?:--|__+){_BLANKS}*$", "sent from my")
 _FOOTERS = "(?i)" + "|".join(FOOTER_KEYWORDS)
@@ -119,8 +137,10 @@ def remove_signature(body: Column) -> Column:
         first = F.array_min(_places(parts, lambda line, i: line.rlike(_RULES) | (((i - 1) * 10 > late) & line.rlike(_CLOSERS))))
         return _cut_at(parts, first, text)
 
-    def own(text: Column) -> Column:
-        kept = _bound(F.split(text, "\n"), lambda parts: cut(parts, text))
+    def own(text: Column) -> Column:  # only a text with a closing phrase at the start of a line has its lines counted
+        by_line = _bound(F.split(text, "\n"), lambda parts: cut(parts, text))
+        broken = F.concat(F.lit("\n"), text)
+        kept = F.when(broken.rlike(_CLOSER_LINE), by_line).otherwise(F.substring(F.regexp_replace(broken, _FROM_RULE, ""), 2, 2**31 - 1))
         return _bound(kept, lambda k: F.when(k == text, text).otherwise(_bound(strip(k), lambda t: F.when(t == "", text).otherwise(t))))
 
     return _bound(body, own)

@@ -74,3 +74,27 @@ def test_signatures_of_odd_texts_equal_sql(spark, tmp_path):
     found = {(r.doc_id, r.body) for r in catalog.QUERIES["remove_signature"](spark, str(tmp_path)).collect()}
     assert found == set(con.sql(catalog.ORACLES["remove_signature"]).fetchall())
     assert (3, "one\ntwo") in found and (7, "one\ntwo\n") in found
+
+
+def test_cleaning_of_odd_texts_equals_sql(spark, tmp_path):
+    """Blanks of every kind before other kinds of line breaks, and letters whose lower case is ASCII."""
+    import duckdb
+
+    texts = [f"{a}one{b}\n{b}{c}{a}two{a}{b}" for a in ("", " ", "\t ", "\x85", "\u2028", "\xa0") for b in ("", "  ", "\x1f", "\u3000 ", "\r") for c in ("", "\n\n\n", "UNSUBSCR\u0130BE\n", "Trouble reading\n", "bro\u200bwser, view this email", ">From ")]
+    texts = [t for t in texts for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("clean_text", "normalize_body", "remove_signature"):
+        assert {(r.doc_id, r.body) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(con.sql(catalog.ORACLES[name]).fetchall())
+
+
+def test_long_runs_of_blanks_take_linear_time(spark, tmp_path):
+    """A run of blanks inside a line is looked at once, not once for each of its blanks."""
+    import time
+
+    spark.createDataFrame([(0, "a" + " " * 400_000 + "b\nc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("clean_text", "normalize_body"):
+        began = time.perf_counter()
+        assert len(catalog.QUERIES[name](spark, str(tmp_path)).first().body) > 400_000
+        assert time.perf_counter() - began < 20
