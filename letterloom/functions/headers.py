@@ -10,7 +10,8 @@ from email.utils import parsedate_to_datetime
 from datetime import datetime
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ BULK_MAILERS = (
     "campaign monitor", "xyzmailer", "wiredmessenger",
 )
 
+#: Bytes of raw messages that a Python worker holds as Python objects at a time.
+SLICE_BYTES = 4 << 20
+
 _ENCODED = re.compile(r"=\?([^?]*)\?([BbQq])\?([^?]*)\?=")
 _LATIN = {"iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252", "us-ascii"}
 _DECODED = ("subject", "from", "to", "cc")
@@ -111,14 +115,26 @@ def parsed_headers(raw: bytes) -> dict[str, str]:
     return found
 
 
-def _headers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for raw in batches:
-        yield raw.map(lambda r: parsed_headers(bytes(r)) if r is not None else None)
+def slices(batches: Iterator[pa.Array], max_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The batches' values in slices of at most max_bytes (one longer message is taken alone), however many rows a batch has."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pa.compute.binary_length(batch).to_pylist()):
+            if i > start and held + (n or 0) > max_bytes:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n or 0
+        yield batch.slice(start)
+
+
+def _headers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for raw in slices(batches):
+        yield pa.array([None if r is None else list(parsed_headers(r).items()) for r in raw.to_pylist()], pa.map_(pa.string(), pa.string()))
 
 
 def headers_of(raw: Column | str) -> Column:
     """Header names to values of raw messages, RFC 2047 and dates already decoded."""
-    return F.pandas_udf(_headers, "map<string,string>")(raw)
+    return F.arrow_udf(_headers, "map<string,string>")(raw)
 
 
 def header(headers: Column, name: str) -> Column:

@@ -479,3 +479,15 @@ def test_stage_names():
     assert stages.stage_set("download,clean") == ["model", "preprocess"] and stages.stage_set(None) == list(stages.STAGES)
     with pytest.raises(ValueError):
         stages.stage_set("nope")
+
+
+def test_bodies_and_headers_come_in_slices():
+    """A batch of many messages is worked through in slices of bounded size, one longer message alone; no row is lost."""
+    import pyarrow as pa
+
+    from letterloom.functions import headers, mime
+
+    raw = [b"From: a@b.example\nSubject: s%d\n\n" % i + b"x" * n for i, n in enumerate([1 << 20] * 9 + [6 << 20, 10, 0])] + [None]
+    for made in (list(mime._bodies([pa.array(raw, pa.binary())])), list(headers._headers([pa.array(raw, pa.binary())]))):
+        assert sum(map(len, made)) == len(raw) and [len(x) for x in made] == [3, 3, 3, 1, 3]
+    assert [len(x) for x in headers.slices([pa.array([], pa.binary())])] == [0]
