@@ -491,3 +491,20 @@ def test_bodies_and_headers_come_in_slices():
     for made in (list(mime._bodies([pa.array(raw, pa.binary())])), list(headers._headers([pa.array(raw, pa.binary())]))):
         assert sum(map(len, made)) == len(raw) and [len(x) for x in made] == [3, 3, 3, 1, 3]
     assert [len(x) for x in headers.slices([pa.array([], pa.binary())])] == [0]
+
+
+def test_small_ranges_of_a_large_mailbox_share_tasks(spark, tmp_path):
+    """As many tasks as are asked for, however small the ranges; each message once, wherever ranges and tasks cut."""
+    from letterloom.sources.mbox import MboxReader
+
+    texts = [f"From a@b.example Mon Jan  {i % 9 + 1} 08:00:00 2024\nSubject: {i}\n\n{'x' * (i * 37 % 900)}\nFrom me\n\n" for i in range(400)]
+    (tmp_path / "m.mbox").write_text("".join(texts))
+    starts = [sum(map(len, texts[:i])) for i in range(400)]
+    for split, tasks in ((1, 7), (64, 3), (100, 16), (5000, 1)):
+        reader = MboxReader({"path": f"{tmp_path}/m.mbox", "splitBytes": split, "tasks": tasks})
+        parts = reader.partitions()
+        assert len(parts) <= tasks + 2
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["offset"], r["raw"].decode()) for r in rows] == list(zip(starts, texts))
+    found = read_mbox(spark, f"{tmp_path}/m.mbox", split_bytes=100)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 2 and found.count() == 400
