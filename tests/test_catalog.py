@@ -98,3 +98,26 @@ def test_long_runs_of_blanks_take_linear_time(spark, tmp_path):
         began = time.perf_counter()
         assert len(catalog.QUERIES[name](spark, str(tmp_path)).first().body) > 400_000
         assert time.perf_counter() - began < 20
+
+
+def test_nearest_so_far_equals_every_distance():
+    """Blocks added one by one keep the same k rows as all distances measured: ties by id, copies, far-off and lone values."""
+    import numpy as np
+
+    from letterloom.operators.metrics import _Nearest
+
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(300, 8)), 3, axis=0).astype(np.float32).astype(np.float64)
+    v[::7] += 1e6
+    v[50:60] = np.round(v[50:60])
+    ids, labels = rng.permutation(900), rng.integers(0, 3, 900)
+    q = np.arange(0, 900, 20)
+    near = _Nearest(ids[q], v[q], labels[q], 10)
+    for at in np.split(np.arange(900), [5, 16, 300, 301, 700]):
+        near.add(ids[at], v[at], labels[at])
+    rows = near.rows().to_pylist()
+    assert len(rows) == 10 * len(q)
+    for i, one in enumerate(q):
+        d = np.square(v - v[one]).sum(axis=1)
+        first = [j for j in np.lexsort((ids, d)) if j != one][:10]
+        assert [(r["vec_id"], r["distance"], r["relevant"]) for r in rows[10 * i : 10 * i + 10]] == [(ids[j], d[j], labels[j] == labels[one]) for j in first]
