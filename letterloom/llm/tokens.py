@@ -197,6 +197,20 @@ class PrefixTables:
     def count(self, text: str | None) -> int:
         return sum([t[-1] for t in map(self.known.__getitem__, self.segments(text or ""))])
 
+    def fit(self, text: str, limit: int) -> int:
+        """fit_chars() of the text's prefixes, from the one segment in which the limit is passed: any later prefix has more."""
+        at, total = -1, 0
+        before, part = (at, total), ""
+        for segment in self.segments(text):
+            if total >= limit:
+                break
+            before, part = (at, total), segment
+            at, total = at + len(segment), total + self.known[segment][-1]
+        if total > limit:
+            inside = np.nonzero(self.known.counts(part).astype(np.int64) <= limit - before[1])[0]
+            at = before[0] + 1 + int(inside[-1]) if len(inside) else before[0]
+        return max(at, 0)
+
     def prefixes(self, text: str | None) -> np.ndarray:
         """counts[k]: tokens of the first k characters, k from 0 to len(text)."""
         out = np.zeros(len(text or "") + 1, np.int32)
@@ -246,8 +260,8 @@ def token_counts(docs: DataFrame, model_file: str | None = None, limit: int = LI
         for batch in sliced(batches):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             totals = [dp.count(t) for t in texts]
-            tables_of = [dp.prefixes(t) if prefixes or n > limit else None for t, n in zip(texts, totals)]
-            out = [column(batch, "doc_id"), [len(t.encode()) for t in texts], totals, [n > limit for n in totals], [len(t) if n <= limit else fit_chars(p, limit) for t, n, p in zip(texts, totals, tables_of)]]
+            tables_of = [dp.prefixes(t) for t in texts] if prefixes else []
+            out = [column(batch, "doc_id"), [len(t.encode()) for t in texts], totals, [n > limit for n in totals], [len(t) if n <= limit else dp.fit(t, limit) for t, n in zip(texts, totals)]]
             yield build(schema, out + ([[p.tolist() for p in tables_of]] if prefixes else []))
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -657,3 +657,14 @@ def test_mixing_odd(spark, odd, none):
     out = mixing.mix(odd, labels)
     assert out.count() == 12 and out.columns == [*(c for c in odd.columns if c not in ("_shares", "_tokens", "_rate")), "_shares", "_tokens", "_rate"]
     assert mixing.mix(odd, labels.limit(0)).count() == 12 and mixing.mix(none, labels).count() == 0
+
+
+def test_fitting_prefix_without_prefix_tables():
+    """The longest fitting prefix is found from one segment and is that of the whole table, at every limit."""
+    from letterloom.llm import tokens
+
+    dp = tokens.tables(tokens.model_path())
+    for text in ("", "a", "\U0001f600x", "\n\n", " a  b ", "日本語\U0001f600 x\n\nhello", "some words, 1234 more; and moreover unquestionably " * 6):
+        counts = dp.prefixes(text)
+        for limit in range(int(counts[-1]) + 1):
+            assert dp.fit(text, limit) == tokens.fit_chars(counts, limit)
